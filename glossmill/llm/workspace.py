@@ -31,10 +31,17 @@ class Workspace:
         self._n += 1
         return f"{self.root}/{self._n:03d}-{label}"
 
-    def cut(self, df: DataFrame, label: str, release: bool = False) -> DataFrame:
+    def cut(self, df: DataFrame, label: str, release: bool = False, batch_rows: int | None = None) -> DataFrame:
+        """batch_rows: of the Arrow batches meanwhile, where rows are large."""
         out = self.path(label)
         schema = df.schema
-        df.write.parquet(out)
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        usual = self.spark.conf.get(key)
+        self.spark.conf.set(key, str(batch_rows or usual))
+        try:
+            df.write.parquet(out)
+        finally:
+            self.spark.conf.set(key, usual)
         del df
         if release:
             self.release()
