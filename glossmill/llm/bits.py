@@ -54,14 +54,14 @@ def build(keys: DataFrame, log2_bits: int = 25) -> Broadcast:
         if total is not None:
             yield pd.DataFrame({"k": [k], "bits": [total.tobytes()]})
 
-    rows = keys.mapInArrow(fill, "k int, bits binary").groupBy("k").applyInPandas(_typed(merge), "k int, bits binary").collect()
+    rows = keys.mapInArrow(fill, "k int, bits binary").groupBy("k").applyInPandas(by_batches(merge), "k int, bits binary").collect()
     bits = np.zeros(n, np.uint8)
     for r in rows:
         bits[r["k"] * SLICE : r["k"] * SLICE + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
     return keys.sparkSession.sparkContext.broadcast(bits)
 
 
-def _typed(f):
+def by_batches(f):
     """Annotations as objects, by which applyInPandas sees that f takes a group in batches."""
     f.__annotations__ = {"parts": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
     return f

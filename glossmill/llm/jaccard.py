@@ -118,7 +118,7 @@ class JaccardJoin:
                 yield pd.DataFrame({"k": [k], "counts": [np.minimum(sums, 0xFFFFFFFF).astype(np.uint32).tobytes()]})
 
         counts = np.zeros(1 << self.log2_counts, np.uint32)
-        for r in scanned.where("k is not null").select("k", "counts").groupBy("k").applyInPandas(bits._typed(total), "k int, counts binary").collect():
+        for r in scanned.where("k is not null").select("k", "counts").groupBy("k").applyInPandas(bits.by_batches(total), "k int, counts binary").collect():
             counts[r["k"] * SLICE : (r["k"] + 1) * SLICE] = np.frombuffer(r["counts"], np.uint32)
         return scanned.sparkSession.sparkContext.broadcast(_ranks(counts))
 

@@ -8,10 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossmill.llm.html_text import extract
 from glossmill.llm.jaccard import JaccardJoin
 from glossmill.llm.packing import pack
 from glossmill.llm.session import read
 from glossmill.llm.substrings import dedup
+from glossmill.llm.topk import top_k
+from glossmill.llm.urls import Rule, judge
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,22 +25,64 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return JaccardJoin(n=5, percent=80).groups(read(spark, sf_dir, "documents"))
 
 
+def op6_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10, scale=1024)
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = F.btrim(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+", " "), F.lit(" "))
     return dedup(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
 
 
+#: The rules that the query judges by.
+URL_RULES = (
+    Rule("org/", "allow", "org", "/"),
+    Rule("example.org/es/", "block", "example.org", "/es/"),
+    Rule("example.org/en/1", "block", "example.org", "/en/1"),
+    Rule("com/fr/", "allow", "com", "/fr/"),
+    Rule("com/de/", "block", "com", "/de/"),
+)
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op6_exact_topk_search": op6_exact_topk_search,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_url_filters": op8_url_filters,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 _WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
 ORACLES: dict[str, str] = {
+    "op6_exact_topk_search": f"""
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings WHERE {_FINITE}),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
+              FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.x) = len(c.x)),
+        r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s)
+        SELECT * FROM r WHERE rank <= 10""",
+    "op8_url_filters": """
+        WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                          coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+        r(rule, verdict, h, p) AS (VALUES ('org/', 'allow', 'org', '/'), ('example.org/es/', 'block', 'example.org', '/es/'),
+             ('example.org/en/1', 'block', 'example.org', '/en/1'), ('com/fr/', 'allow', 'com', '/fr/'), ('com/de/', 'block', 'com', '/de/'))
+        SELECT page_id, host, path, m.rule, coalesce(m.verdict, CASE WHEN regexp_matches(host, '(^|[.-])(ads|bets|casino|pills|spam|track)([.-]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+        FROM u LEFT JOIN LATERAL (SELECT rule, verdict FROM r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+                                  ORDER BY length(h) + length(p) DESC, rule DESC LIMIT 1) m ON true""",
     "op2_ngram_jaccard_join": f"""
         WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.replace("text", _LOWER)} AS w FROM documents),
         s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [w] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4])) END AS g FROM d),
