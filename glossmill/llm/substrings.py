@@ -99,10 +99,11 @@ class FingerprintIndex:
         self.fingerprints: list[DataFrame] = []
         self.windows: list[DataFrame] = []
 
-    def add(self, batch: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    def add(self, batch: DataFrame, history: DataFrame | None = None, last: bool = False) -> DataFrame:
         """Adds the batch; history: the documents of earlier batches, of which only those are read that hold a
         fingerprint for the second time now. Returns (doc, at): the starts of the batch's windows that a smaller
-        document of the batch or of an earlier batch has, with the text's key above them."""
+        document of the batch or of an earlier batch has, with the text's key above them.
+        last: no batch follows, so the fingerprint runs are deleted as soon as this batch has been joined with them."""
         w, g = self.window, self.gram
         firsts = _fingerprints(batch, w, g).groupBy("fp").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
         run = self.work.cut(firsts.select("fp", "first", (F.col("first") != F.col("last")).alias("many")).sortWithinPartitions("fp"), "fp", release=True)
@@ -113,6 +114,12 @@ class FingerprintIndex:
             shared = shared.unionAll(hits.select("fp"))
             lone = hits.where("not many").select(F.col("first").alias("doc_id")).distinct()
         known = bits.build(shared, self.log2_bits)
+        self.fingerprints.append(run)
+        if last:
+            lone = self.work.cut(lone, "lone") if lone is not None else None
+            for x in [*self.fingerprints, *([hits] if lone is not None else [])]:
+                self.work.drop(x)
+            self.fingerprints = []
         found = _shared_windows(batch, known, self.log2_bits, w, g)
         of_all = found.select("whole", "check", "doc")
         if lone is not None and history is not None:
@@ -126,7 +133,6 @@ class FingerprintIndex:
             best = best.join(o.hint("merge"), ["whole", "check"], "left").select("whole", "check", F.least("first", "older").alias("first"), "last")
         best = best.where("first < last").select("whole", "check", "first")
         out = found.join(best, ["whole", "check"]).where("doc > first").select("doc", "at")
-        self.fingerprints.append(run)
         self.windows.append(new)
         out = self.work.cut(out.groupBy("doc").agg(F.collect_list("at").alias("at")), "removed", release=True)
         self._compact()
@@ -170,7 +176,7 @@ def dedup(documents: DataFrame, batches: int = 2, window: int = 13, gram: int =
             part = part.where(F.col("doc_id") > low)
         if high is not None:
             part = part.where(F.col("doc_id") <= high)
-        removed.append(index.add(part, documents.where(F.col("doc_id") <= low) if n else None))
+        removed.append(index.add(part, documents.where(F.col("doc_id") <= low) if n else None, last=n == len(edges)))
     index.drop_runs()
     others = [c for c in documents.columns if c.lower() not in ("n_words", "n_removed", "doc")]
     cuts = reduce(DataFrame.unionAll, removed).select(F.col("doc").alias("__doc"), F.col("at").alias("__at"))
