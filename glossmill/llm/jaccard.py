@@ -150,19 +150,23 @@ class JaccardJoin:
 
         return documents.mapInArrow(read, "gram long, class long, size int, pos int")
 
-    def _arrays(self, documents: DataFrame, counts, wanted) -> DataFrame:
-        """(class, grams): the ordered sets of the classes that ``wanted`` holds, one row per class."""
+    def _arrays(self, documents: DataFrame, counts, reps: DataFrame, pairs: DataFrame) -> DataFrame:
+        """(class, grams): the ordered sets of the classes in pairs, each read from its representative (rep, class).
+        A filter of fixed size picks the texts, so a few more sets may come along."""
         n = self.n
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(reps, "class").select("rep")
+        wanted = bits.build(asked, self.log2_bits)
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
+                some = np.flatnonzero(bits.contains(wanted.value, batch.column(0).to_numpy().view(np.uint64), self.log2_bits))
+                if not len(some):
+                    continue
                 classes, arrays, held = [], [], 0
-                for _, grams in _sets(batch, n):
-                    name = _class(grams)
-                    if bits.contains(wanted.value, name.view(np.uint64), self.log2_bits)[0]:
-                        classes.append(name[0])
-                        arrays.append(self._ordered(grams, counts.value).tobytes())
-                        held += len(arrays[-1])
+                for _, grams in _sets(batch.take(pa.array(some)), n):
+                    classes.append(_class(grams)[0])
+                    arrays.append(self._ordered(grams, counts.value).tobytes())
+                    held += len(arrays[-1])
                     if held > 1 << 23:
                         yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(arrays, pa.binary())], ["class", "grams"])
                         classes, arrays, held = [], [], 0
@@ -225,9 +229,7 @@ class JaccardJoin:
         shared = work.cut(ends.where("low <> high").select("gram"), "shared", release=True)
         known = bits.build(shared, self.log2_bits)
         entries = work.cut(self._entries(docs, counts, known).distinct(), "entries", release=True)
-        wanted = bits.build(entries.select("class").distinct(), self.log2_bits)
-        arrays = self._arrays(docs, counts, wanted).dropDuplicates(["class"])
-        arrays = work.cut(arrays, "arrays", release=True)
+        reps = scanned.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"))
 
         # Leaders of bands of lengths. All sizes of a band link by length; a band and the same shifted by half.
         band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100.0 / self.percent)) + F.col("shift"))
@@ -235,7 +237,8 @@ class JaccardJoin:
         leader = banded.groupBy("gram", "shift", "band").agg(F.min(F.struct("class", "size", "pos")).alias("y"))
         leader = leader.select("gram", "shift", "band", F.col("y.class").alias("class_y"), F.col("y.size").alias("size_y"), F.col("y.pos").alias("pos_y"))
         pairs = self._candidates(banded.join(leader, ["gram", "shift", "band"]))
-        links = work.cut(self._links(pairs, arrays), "links", release=True, batch_rows=256)
+        pairs = work.cut(pairs, "pairs", release=True)
+        links = work.cut(self._links(pairs, self._arrays(docs, counts, reps, pairs)), "links", release=True, batch_rows=256)
         labels = work.cut(components(links.select("a", "b"), work), "labels", release=True)
 
         # All pairs of one bucket that are in different components still.
@@ -247,7 +250,8 @@ class JaccardJoin:
         minor = mixed.where("component <> top").drop("top")
         whole = mixed.drop("top").withColumnsRenamed({c: f"{c}_y" for c in ("class", "size", "pos", "component")})
         rest = self._candidates(minor.join(whole, "gram").where("component <> component_y"))
-        more = work.cut(self._links(rest.join(links.select("a", "b"), ["a", "b"], "left_anti"), arrays), "more", release=True, batch_rows=256)
+        rest = work.cut(rest.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "rest", release=True)
+        more = work.cut(self._links(rest, self._arrays(docs, counts, reps, rest)), "more", release=True, batch_rows=256)
         if more.isEmpty():
             return labels
         stars = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
