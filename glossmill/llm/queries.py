@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from glossmill.llm.html_text import extract
 from glossmill.llm.jaccard import JaccardJoin
+from glossmill.llm import langid
 from glossmill.llm.packing import pack
 from glossmill.llm.session import read
 from glossmill.llm.substrings import dedup
@@ -25,6 +26,13 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return JaccardJoin(n=5, percent=80).groups(read(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    held = langid.held_out(F.col("doc_id"))
+    models = langid.train(documents.where(~held))
+    return langid.identify(documents.select("doc_id", "text"), models).select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op6_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings")
     return top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10, scale=1024)
@@ -56,6 +64,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_language_id": op3_language_id,
     "op6_exact_topk_search": op6_exact_topk_search,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_url_filters": op8_url_filters,
