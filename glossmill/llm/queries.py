@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossmill.llm.decontaminate import find
 from glossmill.llm.html_text import extract
 from glossmill.llm.jaccard import JaccardJoin
 from glossmill.llm import langid
@@ -33,6 +34,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents.select("doc_id", "text"), models).select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op6_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings")
     return top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10, scale=1024)
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_language_id": op3_language_id,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op6_exact_topk_search": op6_exact_topk_search,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_url_filters": op8_url_filters,
@@ -78,6 +84,17 @@ _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvw
 _FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 
 ORACLES: dict[str, str] = {
+    "op4_benchmark_decontamination": """
+        WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS x FROM documents),
+        b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS y FROM benchmark),
+        p AS (SELECT doc_id, i, x[i:i + 3] AS g FROM (SELECT doc_id, x, unnest(range(1, len(x) - 2)) AS i FROM t)),
+        q AS (SELECT item_id, j, y[j:j + 3] AS g FROM (SELECT item_id, y, unnest(range(1, len(y) - 2)) AS j FROM b WHERE len(y) >= 8)),
+        h AS (SELECT DISTINCT doc_id, item_id, i - j AS s FROM p JOIN q USING (g)),
+        m AS (SELECT h.doc_id, h.item_id, h.s, len(t.x) AS n, len(b.y) AS size, least(13, len(b.y)) AS span,
+                     list_transform(range(1, len(b.y) + 1), lambda k: CASE WHEN k + h.s >= 1 AND t.x[k + h.s] = b.y[k] THEN 1 ELSE 0 END) AS same
+              FROM h JOIN t USING (doc_id) JOIN b USING (item_id))
+        SELECT doc_id, item_id, s::BIGINT AS first_token, (least(n, s + size) - greatest(0, s))::BIGINT AS n_aligned, list_sum(same)::BIGINT AS n_matched
+        FROM m WHERE len(list_filter(range(1, size - span + 2), lambda k: list_sum(same[k:k + span - 1]) >= span - span * 2 // 13)) > 0""",
     "op6_exact_topk_search": f"""
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings WHERE {_FINITE}),
         s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
