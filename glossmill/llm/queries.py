@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from glossmill.llm.decontaminate import find
 from glossmill.llm.html_text import extract
+from glossmill.llm import licenses
 from glossmill.llm.jaccard import JaccardJoin
 from glossmill.llm import langid
 from glossmill.llm.packing import pack
@@ -38,6 +39,13 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: their source and language are the directories, since the table has no paths."""
+    path = F.concat(F.lit("/"), F.coalesce("source", F.lit("")), F.lit("/"), F.coalesce("lang", F.lit("")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    found = licenses.scan(read(spark, sf_dir, "documents").select(path.alias("path"), "text"))
+    return found.select(F.regexp_extract("path", "([^/]*)[.]txt$", 1).cast("long").alias("doc_id"), "path", "license", "how", "score")
+
+
 def op6_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings")
     return top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10, scale=1024)
@@ -71,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_language_id": op3_language_id,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_license_scan": op5_license_scan,
     "op6_exact_topk_search": op6_exact_topk_search,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_url_filters": op8_url_filters,
@@ -83,6 +92,8 @@ _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvw
 
 _FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 
+_TOKENS = r"regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')"
+
 ORACLES: dict[str, str] = {
     "op4_benchmark_decontamination": """
         WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS x FROM documents),
@@ -95,6 +106,28 @@ ORACLES: dict[str, str] = {
               FROM h JOIN t USING (doc_id) JOIN b USING (item_id))
         SELECT doc_id, item_id, s::BIGINT AS first_token, (least(n, s + size) - greatest(0, s))::BIGINT AS n_aligned, list_sum(same)::BIGINT AS n_matched
         FROM m WHERE len(list_filter(range(1, size - span + 2), lambda k: list_sum(same[k:k + span - 1]) >= span - span * 2 // 13)) > 0""",
+    "op5_license_scan": rf"""
+        WITH f AS (SELECT doc_id, '/' || coalesce(source, '') || '/' || coalesce(lang, '') AS directory, text FROM documents WHERE doc_id IS NOT NULL),
+        t(template, name, text) AS (VALUES {", ".join(f"({n}, '{name}', '{text}')" for n, (name, text) in enumerate(licenses.TEMPLATES))}),
+        tt AS (SELECT template, token, count(*) AS tf FROM (SELECT template, unnest({_TOKENS}) AS token FROM t) WHERE token <> '' GROUP BY ALL),
+        n AS (SELECT count(*) AS n FROM documents WHERE text IS NOT NULL),
+        df AS (SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct({_TOKENS})) AS token FROM documents) WHERE token IN (SELECT token FROM tt) GROUP BY token),
+        idf AS (SELECT DISTINCT token, ln((1.0 + n.n) / (1.0 + coalesce(df.df, 0))) + 1 AS idf FROM tt LEFT JOIN df USING (token), n),
+        u AS (SELECT template, token, w / sqrt(sum(w * w) OVER (PARTITION BY template)) AS u FROM (SELECT template, token, tf * idf AS w FROM tt JOIN idf USING (token))),
+        l AS (SELECT doc_id, directory, text, unnest(string_split(text, chr(10))) AS passage FROM f),
+        h AS (SELECT doc_id, directory, text, passage FROM l WHERE {" OR ".join(f"contains(lower(passage), '{w}')" for w in licenses.WORDS)}),
+        c AS (SELECT passage, token, count(*) AS tf FROM (SELECT passage, unnest({_TOKENS.replace("text", "passage")}) AS token FROM (SELECT DISTINCT passage FROM h)) WHERE token <> '' GROUP BY ALL),
+        w AS (SELECT passage, token, tf * coalesce(idf, ln(1.0 + n.n) + 1) AS w FROM c LEFT JOIN idf USING (token), n),
+        s AS (SELECT passage, template, round(dot / norm, 6) AS score FROM (SELECT passage, template, sum(w * u) AS dot FROM w JOIN u USING (token) GROUP BY ALL)
+              JOIN (SELECT passage, sqrt(sum(w * w)) AS norm FROM w GROUP BY passage) USING (passage)),
+        b AS (SELECT passage, name, score FROM (SELECT *, row_number() OVER (PARTITION BY passage ORDER BY score DESC, template) AS r FROM s WHERE score >= 0.6) JOIN t USING (template) WHERE r = 1),
+        o AS (SELECT doc_id, directory, max(score) AS score, max_by(name, {{'s': score, 'n': name}}) AS license,
+                     2 * sum(len(list_filter({_TOKENS.replace("text", "passage")}, lambda x: x <> ''))) >= max(len(list_filter({_TOKENS}, lambda x: x <> ''))) AS declares
+              FROM h JOIN b USING (passage) GROUP BY doc_id, directory),
+        d AS (SELECT directory AS at, max_by(license, {{'s': score, 'n': license}}) AS declared FROM o WHERE declares GROUP BY directory)
+        SELECT f.doc_id, f.directory || '/' || f.doc_id || '.txt' AS path, coalesce(o.license, d.declared) AS license,
+               CASE WHEN o.license IS NOT NULL THEN 'own' WHEN d.declared IS NOT NULL THEN 'inherited' END AS how, o.score
+        FROM f LEFT JOIN o USING (doc_id) LEFT JOIN d ON d.at = f.directory""",
     "op6_exact_topk_search": f"""
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings WHERE {_FINITE}),
         s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
