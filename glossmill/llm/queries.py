@@ -14,6 +14,7 @@ from glossmill.llm import licenses
 from glossmill.llm.jaccard import JaccardJoin
 from glossmill.llm import langid
 from glossmill.llm.packing import pack
+from glossmill.llm import quality
 from glossmill.llm.session import read
 from glossmill.llm.substrings import dedup
 from glossmill.llm.topk import top_k
@@ -70,6 +71,11 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's source is its host and its language the path below it, since the table has no urls."""
+    return quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), host="source", path="lang")
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_topk_search": op6_exact_topk_search,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_url_filters": op8_url_filters,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_html_extraction": op10_html_extraction,
 }
 

@@ -32,6 +32,8 @@ _LOWER = _BYTES.copy()
 _LOWER[65:91] = _BYTES[97:123]
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
+#: Marks all ASCII but letters and digits, for words without punctuation.
+MARKS = np.array([not chr(b).isalnum() if b < 128 else False for b in range(256)])
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -57,25 +59,25 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def words(raw: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and for each text the range of its words (one more entry than texts)."""
+def words(raw: np.ndarray, offsets: np.ndarray, lower: bool, white: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words (runs of bytes that ``white`` doesn't mark) in order, and for each text the range of its words (one more entry than texts)."""
     table = _LOWER if lower else _BYTES
     hashes, firsts = [], []
     at, n = 0, len(raw)
     while at < n:
         end = min(at + SEGMENT, n)
         if end < n:
-            cut = np.flatnonzero(WHITE[raw[at:end]])
+            cut = np.flatnonzero(white[raw[at:end]])
             inner = np.searchsorted(offsets, end, "right") - 1
             stop = max(at + cut[-1] + 1 if len(cut) else 0, offsets[inner])
             while stop <= at and end < n:  # one word longer than a segment
                 end = min(end + SEGMENT, n)
-                cut = np.flatnonzero(WHITE[raw[at:end]])
+                cut = np.flatnonzero(white[raw[at:end]])
                 inner = np.searchsorted(offsets, end, "right") - 1
                 stop = max(at + cut[-1] + 1 if len(cut) else 0, offsets[inner])
             end = stop if stop > at else n
         part = raw[at:end]
-        solid = ~WHITE[part]
+        solid = ~white[part]
         begins, ends = solid.copy(), solid.copy()
         begins[1:] &= ~solid[:-1]
         ends[:-1] &= ~solid[1:]
