@@ -6,11 +6,12 @@ everywhere keeps the prefix filter exact, so the table of counts can be of fixed
 n-gram of their prefixes. Candidates pass the length and the positional filter when they are joined, the suffix
 filter when the sets are at hand, and then one exact count per pair.
 
-Groups need not have all their pairs compared. In each n-gram's bucket a leader of each band of lengths is paired
-with the others; bands are taken twice, shifted by half. The links so found join most classes. What is left are
-pairs of classes of one bucket in different components: all of these are then compared, by joining the classes
-outside each bucket's largest component with the whole bucket. So no link is lost that could join two components,
-and a group of n near copies costs about n comparisons.
+Buckets of few documents have all their pairs compared. Large ones need not: in each, a leader of each band of
+lengths is paired with the others; bands are taken twice, shifted by half. The leader is the class whose n-grams
+are the most frequent on average, that is, of a group of edited copies the text that they were made from. The links
+so found join most classes. What is left are pairs of classes of one large bucket in different components: all of
+these are then compared, by joining the classes outside each bucket's largest component with the whole bucket. So
+no link is lost that could join two components, and a group of n near copies costs about n comparisons.
 
 Cases: words are bytes other than 0x20 and 0x09-0x0D with A-Z lower-cased; null and wordless texts have an empty
 set, link with nothing and are their own component; texts of fewer than n words have their whole sequence as one
@@ -33,6 +34,8 @@ from glossmill.llm.components import components
 from glossmill.llm.workspace import Workspace
 
 SLICE = 1 << 13
+#: Buckets of more documents than this are large.
+LARGE = 16
 
 
 def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -122,13 +125,18 @@ class JaccardJoin:
             counts[r["k"] * SLICE : (r["k"] + 1) * SLICE] = np.frombuffer(r["counts"], np.uint32)
         return scanned.sparkSession.sparkContext.broadcast(_ranks(counts))
 
-    def _entries(self, documents: DataFrame, counts, known=None) -> DataFrame:
-        """(gram, class, size, pos) for every prefix n-gram, or for those that ``known`` holds."""
-        n, names = self.n, ["gram", "class", "size", "pos"]
+    def _grams(self, documents: DataFrame, counts) -> DataFrame:
+        """(gram, class) for every prefix n-gram."""
+        return self._entries(documents, counts).select("gram", "class")
+
+    def _entries(self, documents: DataFrame, counts, known=None, large=None) -> DataFrame:
+        """(gram, class, size, pos, central, large) for every prefix n-gram, or for those that ``known`` holds: its
+        place in the order, the average rank of the set's counts, and whether ``large`` holds it."""
+        n, names = self.n, ["gram", "class", "size", "pos", "central", "large"]
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                grams, classes, sizes, positions, held = [], [], [], [], 0
+                waiting, held = [], 0
                 for _, unordered in _sets(batch, n):
                     size = len(unordered)
                     prefix = self._ordered(unordered, counts.value)[: self._prefix(size)]
@@ -137,18 +145,21 @@ class JaccardJoin:
                         some = bits.contains(known.value, prefix, self.log2_bits)
                         prefix, pos = prefix[some], pos[some]
                     if len(prefix):
-                        grams.append(prefix)
-                        positions.append(pos)
-                        classes.append(np.full(len(prefix), _class(unordered)[0]))
-                        sizes.append(np.full(len(prefix), size, np.int32))
+                        central = counts.value[(unordered >> np.uint64(64 - self.log2_counts)).astype(np.int64)].mean() if known is not None else 0
+                        waiting.append((prefix.view(np.int64), np.full(len(prefix), _class(unordered)[0]), np.full(len(prefix), size, np.int32), pos, np.full(len(prefix), int(central), np.int32)))
                         held += len(prefix)
                     if held > 1 << 18:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([g.view(np.int64) for g in grams], classes, sizes, positions)], names)
-                        grams, classes, sizes, positions, held = [], [], [], [], 0
+                        yield flush(waiting)
+                        waiting, held = [], 0
                 if held:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([g.view(np.int64) for g in grams], classes, sizes, positions)], names)
+                    yield flush(waiting)
+
+        def flush(waiting: list[tuple]) -> pa.RecordBatch:
+            columns = [np.concatenate(x) for x in zip(*waiting, strict=True)]
+            over = np.zeros(len(columns[0]), bool) if large is None else bits.contains(large.value, columns[0].view(np.uint64), self.log2_bits)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (*columns, over)], names)
 
-        return documents.mapInArrow(read, "gram long, class long, size int, pos int")
+        return documents.mapInArrow(read, "gram long, class long, size int, pos int, central int, large boolean")
 
     def _arrays(self, documents: DataFrame, counts, reps: DataFrame, pairs: DataFrame) -> DataFrame:
         """(class, grams): the ordered sets of the classes in pairs, each read from its representative (rep, class).
@@ -225,24 +236,30 @@ class JaccardJoin:
 
     def _labels(self, docs: DataFrame, scanned: DataFrame, work: Workspace) -> DataFrame:
         counts = self._counts(scanned)
-        ends = self._entries(docs, counts).groupBy("gram").agg(F.min("class").alias("low"), F.max("class").alias("high"))
-        shared = work.cut(ends.where("low <> high").select("gram"), "shared", release=True)
-        known = bits.build(shared, self.log2_bits)
-        entries = work.cut(self._entries(docs, counts, known).distinct(), "entries", release=True)
+        ends = self._grams(docs, counts).groupBy("gram").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n"))
+        shared = work.cut(ends.where("low <> high").select("gram", (F.col("n") > LARGE).alias("large")), "shared", release=True)
+        # The second filter decides by n-gram alone which buckets count as large, so all tasks decide alike.
+        known, over = bits.build(shared.select("gram"), self.log2_bits), bits.build(shared.where("large").select("gram"), self.log2_bits)
+        entries = work.cut(self._entries(docs, counts, known, over).distinct(), "entries", release=True)
+        work.drop(shared)
         reps = scanned.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"))
 
+        few = entries.where("not large").select("gram", "class", "size", "pos")
+        pairs = self._candidates(few.join(few.toDF("gram", "class_y", "size_y", "pos_y"), "gram").where("class < class_y"))
         # Leaders of bands of lengths. All sizes of a band link by length; a band and the same shifted by half.
-        band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100.0 / self.percent)) + F.col("shift"))
-        banded = entries.withColumn("shift", F.explode(F.array(F.lit(0.0), F.lit(0.5)))).withColumn("band", band)
-        leader = banded.groupBy("gram", "shift", "band").agg(F.min(F.struct("class", "size", "pos")).alias("y"))
-        leader = leader.select("gram", "shift", "band", F.col("y.class").alias("class_y"), F.col("y.size").alias("size_y"), F.col("y.pos").alias("pos_y"))
-        pairs = self._candidates(banded.join(leader, ["gram", "shift", "band"]))
+        many = entries.where("large").drop("large")
+        step = F.log(F.col("size").cast("double")) / F.log(F.lit(100.0 / self.percent))
+        banded = many.withColumn("band", F.explode(F.array((F.floor(step) * 2).cast("int"), (F.floor(step + 0.5) * 2 + 1).cast("int"))))
+        leader = banded.groupBy("gram", "band").agg(F.max(F.struct("central", "class", "size", "pos")).alias("y"))
+        leader = leader.select("gram", "band", F.col("y.class").alias("class_y"), F.col("y.size").alias("size_y"), F.col("y.pos").alias("pos_y"))
+        led = self._candidates(banded.join(leader, ["gram", "band"]))
+        pairs = pairs.unionAll(led).groupBy("a", "b").agg(F.min("i").alias("i"), F.min("j").alias("j"))
         pairs = work.cut(pairs, "pairs", release=True)
         links = work.cut(self._links(pairs, self._arrays(docs, counts, reps, pairs)), "links", release=True, batch_rows=256)
         labels = work.cut(components(links.select("a", "b"), work), "labels", release=True)
 
-        # All pairs of one bucket that are in different components still.
-        e = entries.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+        # All pairs of one large bucket that are in different components still.
+        e = many.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
         e = work.cut(e, "placed", release=True)
         per = e.groupBy("gram", "component").agg(F.count("*").alias("n"))
         top = per.groupBy("gram").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("k")).where("k > 1").select("gram", F.col("top.component").alias("top"))
