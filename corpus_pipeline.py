@@ -1,12 +1,76 @@
-"""The training-data pipeline: documents in, packed sequences out."""
+"""The training-data pipeline: documents in, packed sequences out.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the
+next one's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from glossmill.llm import decontaminate, langid, packing, substrings
+from glossmill.llm.jaccard import JaccardJoin
+from glossmill.llm.session import read
+from glossmill.llm.workspace import Workspace
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the models accept, learned from the labelled two thirds of them."""
+    models = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
+    return langid.identify(docs, models).where("not rejected").select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: that of the least doc_id. Rows that repeat a doc_id and a text stay once; rows
+    without a doc_id stay."""
+    work = Workspace(spark, "near-duplicates")
+    rows = work.cut(JaccardJoin().groups(docs), "groups")
+    # Both lists are written first, so Spark broadcasts them if they are small and else shuffles.
+    dropped = work.cut(rows.where("component_id <> doc_id").select("doc_id").distinct(), "dropped")
+    kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    repeated = work.cut(rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 13 words and more that an earlier one has."""
+    out = substrings.dedup(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    found = Workspace(spark, "leaks").cut(decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark")), "leaks")
+    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the remaining documents with their places in sequences of 2048 tokens."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("substring_dedup", substring_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("best_fit_packing", best_fit_packing),
+]
 
-STAGES: list = []
+#: Language models and token ids have no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    work = Workspace(spark, "pipeline")
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = work.cut(stage(spark, docs, sf_dir), name, release=True)
+    return STAGES[-1][1](spark, docs, sf_dir)
