@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 _U = np.uint64
 
 
@@ -106,7 +106,7 @@ def ngrams(hashes: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
     return mix(total)
 
 
-def groups(offsets: np.ndarray, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def groups(offsets: np.ndarray, limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Runs of texts of about ``limit`` bytes together."""
     at, n = 0, len(offsets) - 1
     while at < n:

@@ -31,13 +31,13 @@ class Workspace:
         self._n += 1
         return f"{self.root}/{self._n:03d}-{label}"
 
-    def cut(self, df: DataFrame, label: str, release: bool = False, batch_rows: int | None = None) -> DataFrame:
-        """batch_rows: of the Arrow batches meanwhile, where rows are large."""
+    def cut(self, df: DataFrame, label: str, release: bool = False, batch_rows: int = 2048) -> DataFrame:
+        """batch_rows: of the Arrow batches meanwhile; texts are large rows, so there are fewer of them than usual."""
         out = self.path(label)
         schema = df.schema
         key = "spark.sql.execution.arrow.maxRecordsPerBatch"
         usual = self.spark.conf.get(key)
-        self.spark.conf.set(key, str(batch_rows or usual))
+        self.spark.conf.set(key, str(min(batch_rows, int(usual))))
         try:
             df.write.parquet(out)
         finally:
