@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from glossmill.llm import decontaminate, langid, packing, substrings
 from glossmill.llm.jaccard import JaccardJoin
-from glossmill.llm.session import read
+from glossmill.llm.session import for_texts, read
 from glossmill.llm.workspace import Workspace
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the models accept, learned from the labelled two thirds of them."""
+    for_texts(spark)
     models = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
     return langid.identify(docs, models).where("not rejected").select(docs.columns)
 
@@ -25,6 +26,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: that of the least doc_id. Rows that repeat a doc_id and a text stay once; rows
     without a doc_id stay."""
+    for_texts(spark)
     work = Workspace(spark, "near-duplicates")
     rows = work.cut(JaccardJoin().groups(docs), "groups")
     # Both lists are written first, so Spark broadcasts them if they are small and else shuffles.
@@ -39,6 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 13 words and more that an earlier one has."""
+    for_texts(spark)
     out = substrings.dedup(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
@@ -47,12 +50,14 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
+    for_texts(spark)
     found = Workspace(spark, "leaks").cut(decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark")), "leaks")
     return docs.join(found, "doc_id", "left_anti").select(docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents with their places in sequences of 2048 tokens."""
+    for_texts(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

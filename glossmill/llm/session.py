@@ -5,5 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of an Arrow batch where rows are whole texts: some 8 MB of them, where Spark's default would make 40.
+BATCH_ROWS = 2048
+_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def for_texts(spark: SparkSession) -> SparkSession:
+    """The session with Arrow batches of at most BATCH_ROWS rows. Results that a query returns are computed after it
+    has returned, so this can't be undone there."""
+    spark.conf.set(_KEY, str(min(BATCH_ROWS, int(spark.conf.get(_KEY)))))
+    return spark
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return for_texts(spark).read.parquet(f"{sf_dir}/{table}.parquet")

@@ -9,7 +9,7 @@ many, never gather in one place.
 Vectors are made integers, floor(scale * x) with x as double, so scores are exact. Cases: a null vector, or one
 with null or non-finite components, takes no part, nor does a null id; vectors of another length than a query's
 aren't its candidates; rows that repeat an id are candidates each on their own, except the query's own id. Fewer
-than k candidates: all. No rows: no rows. Other columns are ignored.
+than k candidates: all. No rows: no rows. Other columns are ignored. A score beyond 62 bits raises OverflowError.
 """
 
 from __future__ import annotations
