@@ -208,21 +208,26 @@ def train(labelled: DataFrame, order: int = 4, sample: int = 1000) -> Models | N
 
 
 def _calibrated(models: Models, held: DataFrame) -> Models:
-    """limits: the highest cross-entropy of a held document of its own language, with a tenth as margin; spread: the
-    deviation of a symbol's bits, by which short texts are given more room."""
+    """limits: a text is rejected if its best model predicts it no better than held documents of the other languages
+    (with one language: than chance), on average, and also worse than any held document of its own by a tenth, which
+    keeps texts of two languages; spread: the deviation of a symbol's bits, by which short texts have more room."""
     names = {x: n for n, x in enumerate(models.languages)}
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs = batch.column(1).to_pylist()
+            own = np.array([names[x] for x in batch.column(1).to_pylist()], np.int64)
             bits, sizes, letters = models.cross_entropies(batch.column(0).to_pylist())
-            own = np.array([bits[n, names[x]] for n, x in enumerate(langs)])
-            some = (sizes >= 200) & (letters > 0)
-            yield pa.RecordBatch.from_arrays([batch.column(1).filter(pa.array(some)), pa.array(own[some])], ["lang", "bits"])
-
-    limits = np.full(len(names), np.inf)
-    for r in held.mapInArrow(measure, "lang string, bits double").groupBy("lang").agg(F.max("bits").alias("bits")).collect():
-        limits[names[r["lang"]]] = r["bits"] * 1.1
+            row, model = np.nonzero(np.broadcast_to(((sizes >= 200) & (letters > 0))[:, None], bits.shape))
+            yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(model), pa.array(bits[row, model])], ["own", "model", "bits"])
+
+    limits = np.full(len(names), max(-models.unseen.max() / np.log(2), 8.0))
+    rows = held.mapInArrow(measure, "own long, model long, bits double").groupBy("model", (F.col("own") == F.col("model")).alias("same"))
+    found = {(r["model"], r["same"]): (r["most"], r["mean"]) for r in rows.agg(F.max("bits").alias("most"), F.avg("bits").alias("mean")).collect()}
+    for n in range(len(names)):
+        if (n, False) in found:
+            limits[n] = found[n, False][1]
+        if (n, True) in found:
+            limits[n] = max(limits[n], found[n, True][0] * 1.1)
     return Models(**{**vars(models), "limits": limits, "spread": np.full(len(names), 4.0)})
 
 
