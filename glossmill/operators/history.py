@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 HISTORY = 100
@@ -38,6 +38,32 @@ def bookmarks_removed(bookmarks: DataFrame, headword: str) -> DataFrame:
     return bookmarks.join(gone, ["headword", "dictionary"], "left_anti")
 
 
+LOG = "word string, ts double, dict_count long, seq long"
+MARKS = "headword string, dictionary string, ts double, path string"
+
+
+def save(rows: DataFrame, path: str) -> None:
+    """Replaces the file of a log (whose newest PERSISTED entries stay) or of bookmarks, as JSON lines."""
+    rows = recent(rows, PERSISTED) if "word" in rows.columns else rows
+    rows.write.mode("overwrite").json(path)
+
+
+def load(spark: SparkSession, path: str, schema: str = LOG) -> DataFrame:
+    """A log or bookmarks, newest first. If any line is malformed or lacks its word, all are dropped, as one that was
+    cut off in the middle can't be told from a changed one."""
+    key = "word" if "word" in schema else "headword"
+    rows = spark.read.schema(f"{schema}, _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    bad = F.col("_corrupt_record").isNotNull() | F.col(key).isNull() | F.col("ts").isNull()
+    broken = rows.select(bad.alias("bad"), F.lit(1).alias("one")).where("bad").limit(1).select(F.lit(1).alias("broken"))
+    return rows.join(F.broadcast(broken), F.lit(True), "left_anti").drop("_corrupt_record").orderBy(F.desc("ts"))
+
+
+def shown(log: DataFrame) -> DataFrame:
+    """The log as it is listed: time to the minute, word, number of dictionaries; newest first."""
+    stamp = F.date_format(F.timestamp_seconds("ts"), "yyyy-MM-dd HH:mm")
+    return log.orderBy(F.desc("ts")).select(stamp.alias("time"), "word", "dict_count")
+
+
 class Navigation:
     """Back and forward over the words looked up, as a browser has it: a new word ends what lay ahead."""
 

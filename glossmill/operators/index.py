@@ -34,6 +34,19 @@ def create(spark: SparkSession, name: str, path: str) -> None:
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({ENTRIES}) USING parquet PARTITIONED BY (dict_id) LOCATION '{path}'")
 
 
+def clear(spark: SparkSession, path: str, dict_ids: list[str] | None = None) -> None:
+    """Deletes the stored entries of some dictionaries, or all."""
+    jvm = spark._jvm
+    for place in [path] if dict_ids is None else [f"{path}/dict_id={d}" for d in dict_ids]:
+        p = jvm.org.apache.hadoop.fs.Path(place)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    spark.catalog.refreshByPath(path)
+
+
+def headword_count(entries: DataFrame) -> DataFrame:
+    return entries.agg(F.count_distinct("headword").alias("headwords"))
+
+
 def documents(bodies: DataFrame) -> DataFrame:
     """Full-text rows of bodies (dict_id, entry_seq, headword, raw, markup): those with any plain text."""
     plain = bodies.withColumn("definition", plain_text(F.col("raw"), F.col("markup")))

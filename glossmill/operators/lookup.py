@@ -7,7 +7,7 @@ with literals and are pushed to the scan; tables partitioned by dict_id are prun
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,6 +48,25 @@ def by_dictionary(found: DataFrame) -> DataFrame:
     return found.groupBy("word", "rank", "dict_id", "name", "priority").agg(F.array_sort(F.collect_list(match)).alias("matches"))
 
 
+def contents(ranked_rows: DataFrame) -> DataFrame:
+    """The names of a word's dictionaries in the order of results, where there is more than one."""
+    names = F.transform(F.array_sort(F.collect_set(F.struct("rank", "name"))), lambda x: x["name"])
+    return ranked_rows.groupBy("word").agg(names.alias("contents")).where(F.size("contents") > 1)
+
+
+def sections(rendered: DataFrame, size: int = 1) -> Iterator[list]:
+    """The first result as soon as it is there, then the others by ``size``, in the order of rank and entry; one
+    partition at a time is fetched ahead."""
+    rows, waiting, first = rendered.orderBy("rank", "entry_seq").toLocalIterator(prefetchPartitions=True), [], True
+    for row in rows:
+        waiting.append(row)
+        if first or len(waiting) == size:
+            yield waiting
+            waiting, first = [], False
+    if waiting:
+        yield waiting
+
+
 def named(dictionaries: DataFrame) -> DataFrame:
     """The first dictionary of each name."""
     return dictionaries.groupBy("name").agg(F.min_by("dict_id", "dict_seq").alias("dict_id"))

@@ -77,3 +77,14 @@ def with_abbreviations(tags: DataFrame, abbreviations: DataFrame) -> DataFrame:
 def first_source(wanted: DataFrame, candidates: DataFrame) -> DataFrame:
     """For each wanted key the candidate of the least rank: (key, rank, place)."""
     return wanted.join(candidates.groupBy("key").agg(F.min_by("place", "rank").alias("place")), "key", "left")
+
+
+def audio_sources(wanted: DataFrame, files: DataFrame, resources: DataFrame) -> DataFrame:
+    """Where the sound of each (key, directory, dict_id, name) is: the file itself, its dictionary's own archive, or
+    any archive of the directory, in this order; files: (directory, name, place), resources: (directory, dict_id,
+    name, place)."""
+    own = wanted.select("key", "directory", "dict_id", "name")
+    direct = own.join(files, ["directory", "name"]).select("key", F.lit(0).alias("rank"), "place")
+    packed = own.withColumnRenamed("dict_id", "asker").join(resources, ["directory", "name"])
+    packed = packed.select("key", F.when(F.col("dict_id") == F.col("asker"), 1).otherwise(2).alias("rank"), "place")
+    return first_source(wanted, direct.unionByName(packed))

@@ -94,6 +94,22 @@ class Client:
                 return out
 
 
+def discover(servers: list[str], enabled: bool = False, transport: Transport = sockets) -> list[dict]:
+    """The databases of dictionary servers ("host:port") as dictionaries; none unless enabled. A server that can't be
+    reached is left out."""
+    out = []
+    for server in servers if enabled else ():
+        host, _, port = server.partition(":")
+        try:
+            found = Client(host, int(port or 2628), transport).databases()
+        except (OSError, ValueError):
+            continue
+        for name, title in found:
+            path = f"dict://{host}:{int(port or 2628)}/{name}"
+            out.append({"path": path, "format_name": "dict-protocol", "name": title or name, "source_lang": "", "target_lang": "", "group": GROUP, "priority": PRIORITY, "skip_index": True})
+    return out
+
+
 class _Database(InputPartition):
     def __init__(self, host: str, port: int, name: str, title: str):
         self.host, self.port, self.name, self.title = host, port, name, title

@@ -209,3 +209,32 @@ def test_streaming(spark, tmp_path):
     c = lookups.counts(lookups.source(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "d")).start()
     c.awaitTermination()
     assert sorted((r["word"], r["lookups"]) for r in spark.table("counted").collect()) == [("a", 3), ("b", 1)]
+
+
+def test_history_files(spark, tmp_path):
+    log = spark.createDataFrame([("a", 10.0, 2, 1), ("b", 70.0, 1, 2)], history.LOG)
+    history.save(log, str(tmp_path / "log"))
+    got = history.load(spark, str(tmp_path / "log"))
+    assert [r["word"] for r in got.collect()] == ["b", "a"] and history.shown(got).first()["time"] == "1970-01-01 00:01"
+    (tmp_path / "bad").write_text('{"word": "a", "ts": 1.0}\n{"word": \n')
+    assert history.load(spark, str(tmp_path / "bad")).count() == 0
+
+
+def test_contents_sections_and_clearing(spark, tmp_path):
+    e = spark.createDataFrame([("d1", 1, "a", "a"), ("d2", 1, "a", "a"), ("d1", 2, "b", "b")], "dict_id string, entry_seq long, headword string, headword_normalized string")
+    d = spark.createDataFrame([("d1", 1, "One", 5), ("d2", 2, "Two", 1)], "dict_id string, dict_seq int, name string, priority int")
+    found = lookup.ranked(lookup.exact_batch(e, ["a", "b"]), d)
+    assert [tuple(r) for r in lookup.contents(found).collect()] == [("a", ["Two", "One"])]
+    assert [[r["headword"] for r in part] for part in lookup.sections(found.where("word = 'a'"), 2)] == [["a"], ["a"]]
+    matches = lookup.by_dictionary(found.selectExpr("*", "0L as byte_offset", "1L as byte_length")).where("word = 'a'").orderBy("rank").collect()
+    assert [(r["name"], len(r["matches"])) for r in matches] == [("Two", 1), ("One", 1)] and index.headword_count(e).first()[0] == 2
+    index.store(index.indexed(e.selectExpr("dict_id", "entry_seq", "headword", "0L as byte_offset", "1L as byte_length")), str(tmp_path / "e"))
+    index.clear(spark, str(tmp_path / "e"), ["d1"])
+    assert spark.read.parquet(str(tmp_path / "e")).count() == 1
+
+
+def test_audio_sources(spark):
+    wanted = spark.createDataFrame([("k1", "d", "x", "a"), ("k2", "d", "x", "b"), ("k3", "d", "x", "c"), ("k4", "d", "x", "z")], "key string, directory string, dict_id string, name string")
+    files = spark.createDataFrame([("d", "a", "file-a")], "directory string, name string, place string")
+    packed = spark.createDataFrame([("d", "x", "a", "own-a"), ("d", "y", "b", "other-b"), ("d", "x", "b", "own-b"), ("d", "y", "c", "other-c")], "directory string, dict_id string, name string, place string")
+    assert {r["key"]: r["place"] for r in spans.audio_sources(wanted, files, packed).collect()} == {"k1": "file-a", "k2": "own-b", "k3": "other-c", "k4": None}

@@ -233,6 +233,11 @@ def test_dict_client():
     assert dictproto.sanitized('a"b\\c\r\n') == 'a\\"b\\\\c'
 
 
+def test_dict_discovery():
+    found = dictproto.discover(["h:1"], True, recorded)
+    assert [(d["path"], d["name"], d["group"], d["priority"]) for d in found] == [("dict://h:1/wn", "WordNet (r) 3.0", "DICT Servers", 100)] and dictproto.discover(["h:1"]) == []
+
+
 def test_dict_source(spark):
     spark.dataSource.register(dictproto.DictSource)
     got = spark.read.format("dict").option("servers", "h:1").option("words", "cat,none").option("transport", "tests.test_sources:recorded").load().collect()
