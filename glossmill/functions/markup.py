@@ -192,6 +192,16 @@ def html(body: str) -> dict:
     return page.result()
 
 
+def mdict(body: str) -> dict:
+    """MDict bodies: HTML without the empty lines at the end."""
+    r = html(body)
+    text = r["text"].rstrip()
+    return {
+        "text": text, "spans": [(a, min(b, len(text)), s) for a, b, s in r["spans"] if a < len(text)],
+        "links": [(min(a, len(text)), min(b, len(text)), k, t) for a, b, k, t in r["links"]],
+    }
+
+
 def xdxf(body: str) -> dict:
     page = Page()
 
@@ -378,7 +388,7 @@ def epwing(body: str) -> dict:
     return page.result()
 
 
-RENDERERS: dict[str, Callable[[str], dict]] = {"dsl": dsl, "epwing": epwing, "xdxf": xdxf}
+RENDERERS: dict[str, Callable[[str], dict]] = {"dsl": dsl, "epwing": epwing, "mdict": mdict, "xdxf": xdxf}
 
 
 def render_body(body: str | None, markup: str | None) -> dict:

@@ -88,6 +88,11 @@ def test_render_html():
     assert {(k, t) for _, _, k, t in r["links"]} == {("reference", "t x"), ("audio", "s/a.mp3"), ("image", "i.png")}
 
 
+def test_render_mdict():
+    r = markup.render_body("<p>one <b>two</b></p><div></div>\n", "mdict")
+    assert r["text"] == "one two" and r["spans"] == [(4, 7, "bold")]
+
+
 def test_render_dsl():
     r = markup.dsl("\t[m1][b]gato[/b] [p]n[/p] \\[x\\] <<cat>>[/m]\n\t[m2][ex]un [i]gato[/i][/ex][/m]\n\t[s]a.wav[/s][ref]dog[/ref][c red]r[/c]\n\t\\\n", {"n": "noun"})
     assert r["text"] == "gato n [x] cat\nun gato\ndogr\n\n"
