@@ -15,6 +15,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from glossmill.llm import decontaminate, html_text, langid, licenses, packing, quality, queries, substrings, tokens, topk, urls, wordhash
 from glossmill.llm.components import components
@@ -23,6 +24,7 @@ from glossmill.llm.workspace import Workspace
 from tests.conftest import SF, SMALL, rows
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
+EXACT = Tokenizer.from_file(BPE)
 LONG = " ".join(f"w{n % 977} long{n}" for n in range(30_000))
 BASE = " ".join(f"word{n}" for n in range(60))
 # Clashing names: columns that operators use or add themselves.
@@ -63,16 +65,11 @@ def test_words(texts, segment):
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=60))
 def test_token_ids(text):
-    from tokenizers import Tokenizer
-
-    exact = tokens.encoder.cache_info() and Tokenizer.from_file(BPE)
-    assert tokens.encoder(BPE)(text).tolist() == exact.encode(text, add_special_tokens=False).ids
+    assert tokens.encoder(BPE)(text).tolist() == EXACT.encode(text, add_special_tokens=False).ids
 
 
 def test_token_ids_of_special_strings_and_tables():
-    from tokenizers import Tokenizer
-
-    exact, fast = Tokenizer.from_file(BPE), tokens.encoder(BPE)
+    exact, fast = EXACT, tokens.encoder(BPE)
     texts = pq.read_table(f"{SMALL}/documents.parquet")["text"].to_pylist() + ["a<|endoftext|>b", "  two  spaces\n\n\ttabs ", "don't I'll WE'VE", " ", ""]
     for t in texts:
         assert fast(t).tolist() == exact.encode(t, add_special_tokens=False).ids
