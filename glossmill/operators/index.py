@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glossmill.functions.text import normalize, plain_text, thousands
+from glossmill.functions.text import normalized, plain_text, thousands
 
 ENTRIES = "dict_id string, entry_seq long, headword string, headword_normalized string, byte_offset long, byte_length long, entry_key string"
 
@@ -17,7 +17,7 @@ def indexed(rows: DataFrame) -> DataFrame:
     """Entries with their normalised headwords; rows: (dict_id, entry_seq, headword, byte_offset, byte_length)."""
     rows = rows.where("headword is not null")
     key = F.col("entry_key") if "entry_key" in rows.columns else F.lit(None).cast("string")
-    return rows.select("dict_id", "entry_seq", "headword", normalize("headword").alias("headword_normalized"), "byte_offset", "byte_length", key.alias("entry_key"))
+    return rows.select("dict_id", "entry_seq", "headword", normalized(F.col("headword")).alias("headword_normalized"), "byte_offset", "byte_length", key.alias("entry_key"))
 
 
 def store(rows: DataFrame, path: str, partitions: int | None = None) -> None:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.functions.text import group_label, normalize
+from glossmill.functions.text import group_label, normalized
 from glossmill.operators.scope import discovered
 
 
@@ -34,7 +34,7 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens(spark, sf_dir).withColumn("headword_normalized", normalize("headword"))
+    return tokens(spark, sf_dir).withColumn("headword_normalized", normalized(F.col("headword")))
 
 
 def part_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
