@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterable
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -34,24 +33,6 @@ def normalize(words: pd.Series) -> pd.Series:
     return pd.Series([table[c] for c in codes], index=words.index, dtype=object)
 
 
-@lru_cache(maxsize=1)
-def _simple_letters() -> tuple[str, str]:
-    """Latin letters whose normalised form is one character, and these forms: by rule, not a table."""
-    codes = (chr(c) for a, b in ((0xA0, 0x250), (0x1E00, 0x1F00)) for c in range(a, b))
-    pairs = [(c, n) for c in codes if len(n := normalize_word(c)) == 1]
-    return "".join(c for c, _ in pairs), "".join(n for _, n in pairs)
-
-
-def normalized(word: Column) -> Column:
-    """``normalize`` with built-in expressions for ASCII and for words of simple Latin letters; only the other words
-    are sent to Python."""
-    source, target = _simple_letters()
-    ascii_ = F.octet_length(word) == F.length(word)
-    simple = ascii_ | word.rlike(rf"\A[\x00-\x7F{source}]*\z")
-    built_in = F.when(ascii_, F.lower(word)).when(simple, F.lower(F.translate(word, source, target)))
-    return F.coalesce(built_in, normalize(F.when(simple, F.lit(None)).otherwise(word)))
-
-
 def replaced(text: Column, pairs: Iterable[tuple[str, str]]) -> Column:
     """Literal replacements, one after another."""
     for old, new in pairs:

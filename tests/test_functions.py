@@ -22,17 +22,6 @@ def test_normalize(spark, word, form):
     assert spark.createDataFrame([(word,), ("x",)], "w string").select(text.normalize("w").alias("x")).first()["x"] == form
 
 
-def test_normalized_is_normalize(spark):
-    """Every character of the first planes, alone and between others, and words of several scripts."""
-    import random
-
-    r = random.Random(7)
-    chars = [chr(c) for c in range(0x3000) if not 0xD800 <= c < 0xE000]
-    words = [c for c in chars] + [f"A{c}É{c}z" for c in chars] + ["".join(r.choice(chars[:0x250]) for _ in range(6)) for _ in range(2000)] + ["ΟΔΟΣ", "ﬁnd", "Ẁörd", "", None]
-    frame = spark.createDataFrame([(w,) for w in words], "w string").select("w", text.normalized(F.col("w")).alias("n"))
-    assert [(r["w"], r["n"]) for r in frame.collect() if r["n"] != text.normalize_word(r["w"])] == []
-
-
 @settings(max_examples=300, deadline=None)
 @given(st.text("ab%_?*\\", max_size=7), st.text("ab%_\\", max_size=6))
 def test_wildcards_are_sqlites(pattern, word):
