@@ -3,8 +3,8 @@
 Documents with equal sets form a class, named by a 64-bit hash of the set; work goes on with classes. The order of
 n-grams is rare first, by counts of hash buckets over all documents (ties by hash): any order that is the same
 everywhere keeps the prefix filter exact, so the table of counts can be of fixed size. Two sets that link share an
-n-gram of their prefixes. Candidates pass the length and the positional filter when they are joined, the suffix
-filter when the sets are at hand, and then one exact count per pair.
+n-gram of their prefixes. Candidates pass the length and the positional filter when they are joined, a filter of
+both sides of the n-gram that they met on when the sets are at hand, and then one exact count per pair.
 
 Buckets of few documents have all their pairs compared. Large ones need not: in each, a leader of each band of
 lengths is paired with the others; bands are taken twice, shifted by half. The leader is the class whose n-grams
@@ -62,8 +62,8 @@ def _ranks(counts: np.ndarray) -> np.ndarray:
     return (rank * min(1.0, 65535 / len(values))).astype(np.uint16)
 
 
-def _suffix_bound(x: np.ndarray, y: np.ndarray) -> int:
-    """The most n-grams that two suffixes can share, by the sizes of 16 partitions of each."""
+def _bound(x: np.ndarray, y: np.ndarray) -> int:
+    """The most n-grams that two parts of sets can share, by the sizes of 16 partitions of each."""
     shift = np.uint64(60)
     return int(np.minimum(np.bincount((x >> shift).astype(np.int64), minlength=16), np.bincount((y >> shift).astype(np.int64), minlength=16)).sum())
 
@@ -188,7 +188,7 @@ class JaccardJoin:
 
     def _candidates(self, met: DataFrame) -> DataFrame:
         """From entries joined on their n-gram, the second's columns ending in _y, under the length and positional
-        filters: (a, b, i, j) once per pair, with the positions of the first n-gram that they share."""
+        filters: (a, b, i, j) once per pair, with the positions of the first n-gram that they were joined on."""
         p = self.percent
         need = F.ceil(F.lit(p) * (F.col("size") + F.col("size_y")) / F.lit(100 + p))
         most = F.least(F.col("size") - F.col("pos"), F.col("size_y") - F.col("pos_y"))
@@ -209,7 +209,8 @@ class JaccardJoin:
                 for k, (i, j, x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True)):
                     x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                     need = -(-percent * (len(x) + len(y)) // (100 + percent))
-                    if _suffix_bound(x[i + 1 :], y[j + 1 :]) + 1 < need:
+                    # (i, j) need not be the first n-gram that they share: earlier ones may lie in large buckets.
+                    if _bound(x[:i], y[:j]) + 1 + _bound(x[i + 1 :], y[j + 1 :]) < need:
                         continue
                     shared = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
                     if shared >= need:

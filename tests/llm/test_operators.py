@@ -175,6 +175,25 @@ def test_jaccard_large_groups(spark):
     assert joined(JaccardJoin(log2_bits=17, log2_counts=13).groups(plain(spark, pairs))) == grouped(pairs)
 
 
+def test_jaccard_shared_passage(spark):
+    """Two near copies of just 80 % that meet on an n-gram of a small bucket. Before it in the order is a passage that
+    they share with many texts, in large buckets that others lead, where the two aren't compared; yet it counts."""
+    pairs = passages()
+    assert ("2", 200, "1") in grouped(pairs)
+    assert joined(JaccardJoin().groups(plain(spark, pairs))) == grouped(pairs)
+
+
+def passages():
+    own = lambda name, n: [f"{name}-{k}" for k in range(n)]
+    passage, body, filler, tails = own("p", 17), own("r", 169), own("s", 186), (own("t", 18), own("u", 18))
+    pairs = [(n + 1, passage + tails[n] + body) for n in range(2)]
+    pairs += [(100 + n, passage + filler + own(f"a{n}", 1)) for n in range(18)]
+    pairs += [(200 + n, body + own(f"b{n}", 120)) for n in range(30)]
+    pairs += [(300 + n, filler + own(f"c{n}", 80)) for n in range(40)]
+    pairs += [(400 + n, tails[0] + own(f"d{n}", 60) + tails[1]) for n in range(40)]
+    return [(i, " ".join(words)) for i, words in pairs]
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(n, n + 1) for n in range(0, 40)] + [(100, n) for n in range(101, 140)] + [(r.randrange(200, 400), r.randrange(200, 400)) for _ in range(120)] + [(5, 5)]
