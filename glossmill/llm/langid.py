@@ -4,8 +4,9 @@ A text becomes a sequence of symbols: lower-cased letters, and one separator for
 language has a model of ``order`` symbols. For every order the n-grams that any language has are one sorted array
 of 64-bit hashes with the log-probabilities of all languages beside it, and contexts likewise with their weights
 of falling back, so a position costs one binary search, or one for each order that it falls back. The language of
-the lowest cross-entropy per symbol wins (ties: the least name). Thresholds of rejection are calibrated on sampled
-documents that the models were not fitted on.
+the lowest cross-entropy per symbol wins (ties: the least name). For rejection every segment counts by its own best
+language, so a text of two languages is as plausible as one of each; thresholds are calibrated on the segments of
+sampled documents that the models were not fitted on.
 
 Models are fitted on a bounded sample: of each language about ``sample`` documents, those of the smallest hashes
 of doc_id, with their whole texts. Every text is scored whole, in segments of bounded size.
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import functools
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +34,10 @@ UNKNOWN = "und"
 SEPARATOR = 32
 _CHUNK = 1 << 19
 _DISCOUNT = 0.75
+#: Symbols of a segment.
+SEGMENT = 128
+#: The share of a language's own held segments that its limit keeps.
+_QUANTILE = 0.99
 
 
 @functools.lru_cache(maxsize=1)
@@ -62,7 +67,8 @@ def _hash_all(grams: list[str], n: int) -> np.ndarray:
 class Models:
     """keys[k], values[k]: sorted hashes of the n-grams of k + 1 symbols, and log-probabilities by language.
     contexts[k], falls[k]: hashes of contexts of k symbols, and logs of their weights of falling back.
-    unseen: of a symbol that no language has. limits, spread: calibrated cross-entropy and deviation by language."""
+    unseen: of a symbol that no language has. chance: bits of a uniform guess among a language's symbols. limits,
+    spread: calibrated cross-entropy and deviation of a symbol's bits by language."""
 
     languages: tuple[str, ...]
     order: int
@@ -71,6 +77,7 @@ class Models:
     contexts: tuple[np.ndarray, ...]
     falls: tuple[np.ndarray, ...]
     unseen: np.ndarray
+    chance: np.ndarray
     limits: np.ndarray | None = None
     spread: np.ndarray | None = None
 
@@ -95,15 +102,30 @@ class Models:
 
     def cross_entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """By text and language, bits per symbol; by text, the number of symbols and of letters."""
+        return self.judged(texts)[:3]
+
+    def judged(self, texts: list[str | None], each: Callable[[int, np.ndarray], None] | None = None) -> tuple[np.ndarray, ...]:
+        """cross_entropies, and by text the bits per symbol with every segment by its best language, and by text and
+        language the symbols of the segments that it is the best of. ``each`` gets a text's number and the bits of its
+        segments of full size, by language."""
         pad = np.full(self.order - 1, SEPARATOR, np.uint32)
         sums, sizes, letters = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        least, votes = np.zeros(len(texts)), np.zeros(sums.shape)
         waiting, owners, held = [], [], 0
 
         def score() -> None:
             bounds = np.cumsum([0, *(len(x) for x in waiting)])
             values = self.log_probabilities(np.concatenate(waiting))
             for row, a, b in zip(owners, bounds[:-1], bounds[1:], strict=True):
-                sums[row] += values[a : b - self.order + 1].sum(axis=0)
+                part = values[a : b - self.order + 1]
+                sums[row] += part.sum(axis=0)
+                starts = np.arange(0, len(part), SEGMENT)
+                segments = np.add.reduceat(part, starts, axis=0)
+                best = segments.argmax(axis=1)
+                least[row] += segments[np.arange(len(best)), best].sum()
+                np.add.at(votes[row], best, np.minimum(SEGMENT, len(part) - starts))
+                if each is not None:
+                    each(row, -segments[: len(part) // SEGMENT] / SEGMENT / np.log(2))
 
         for row, text in enumerate(texts):
             tail = pad
@@ -124,7 +146,8 @@ class Models:
                     waiting, owners, held = [], [], 0
         if held:
             score()
-        return -sums / np.maximum(sizes, 1)[:, None] / np.log(2), sizes, letters
+        some = np.maximum(sizes, 1)
+        return -sums / some[:, None] / np.log(2), sizes, letters, -least / some / np.log(2), votes
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,7 +196,8 @@ def fit(counts: dict[str, dict[str, int]], order: int) -> Models:
             hashes.append(h[s])
             logs.append(v[s] if len(table) else v)
     unseen = np.log(uniform) + (falls[0][0] if len(falls[0]) else 0)
-    return Models(languages, order, tuple(keys), tuple(values), tuple(contexts), tuple(falls), unseen)
+    chance = np.log2([len(levels[x][1]) + 1 for x in languages])
+    return Models(languages, order, tuple(keys), tuple(values), tuple(contexts), tuple(falls), unseen, chance)
 
 
 def train(labelled: DataFrame, order: int = 4, sample: int = 1000) -> Models | None:
@@ -208,32 +232,39 @@ def train(labelled: DataFrame, order: int = 4, sample: int = 1000) -> Models | N
 
 
 def _calibrated(models: Models, held: DataFrame) -> Models:
-    """limits: a text is rejected if its best model predicts it no better than held documents of the other languages
-    (with one language: than chance), on average, and also worse than any held document of its own by a tenth, which
-    keeps texts of two languages; spread: the deviation of a symbol's bits, by which short texts have more room."""
+    """limits: the bits per symbol that all but a hundredth of the held segments of a language stay below, of those
+    that its own model predicts best; never more than chance, and chance for a language without such segments. spread:
+    the deviation of a symbol's bits that the deviation of the segments shows, by which short texts have more room."""
     names = {x: n for n, x in enumerate(models.languages)}
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = np.array([names[x] for x in batch.column(1).to_pylist()], np.int64)
-            bits, sizes, letters = models.cross_entropies(batch.column(0).to_pylist())
-            row, model = np.nonzero(np.broadcast_to(((sizes >= 200) & (letters > 0))[:, None], bits.shape))
-            yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(model), pa.array(bits[row, model])], ["own", "model", "bits"])
-
-    limits = np.full(len(names), max(-models.unseen.max() / np.log(2), 8.0))
-    rows = held.mapInArrow(measure, "own long, model long, bits double").groupBy("model", (F.col("own") == F.col("model")).alias("same"))
-    found = {(r["model"], r["same"]): (r["most"], r["mean"]) for r in rows.agg(F.max("bits").alias("most"), F.avg("bits").alias("mean")).collect()}
-    for n in range(len(names)):
-        if (n, False) in found:
-            limits[n] = found[n, False][1]
-        if (n, True) in found:
-            limits[n] = max(limits[n], found[n, True][0] * 1.1)
-    return Models(**{**vars(models), "limits": limits, "spread": np.full(len(names), 4.0)})
+            own, seen = [names[x] for x in batch.column(1).to_pylist()], Counter()
+
+            def each(row: int, bits: np.ndarray) -> None:
+                mine = bits[bits.argmin(axis=1) == own[row], own[row]]
+                seen.update((own[row], x) for x in np.ceil(mine * 64).astype(np.int64).tolist())
+
+            models.judged(batch.column(0).to_pylist(), each)
+            keys = list(seen)
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.int64()), pa.array([x for _, x in keys], pa.int64()), pa.array([seen[k] for k in keys], pa.int64())], ["own", "bits", "n"])
+
+    # A histogram by 64ths of a bit comes back.
+    found = defaultdict(list)
+    for r in held.mapInArrow(measure, "own long, bits long, n long").groupBy("own", "bits").agg(F.sum("n").alias("n")).collect():
+        found[r["own"]].append((r["bits"] / 64, r["n"]))
+    limits, spread = models.chance.copy(), np.full(len(names), np.nan)
+    for n, histogram in found.items():
+        bits, times = (np.array(x) for x in zip(*sorted(histogram), strict=True))
+        limits[n] = min(limits[n], bits[np.searchsorted(np.cumsum(times), _QUANTILE * times.sum())])
+        spread[n] = np.sqrt(np.average((bits - np.average(bits, weights=times)) ** 2, weights=times) * SEGMENT)
+    spread = np.where(np.isnan(spread), np.nanmax(spread) if len(found) else models.chance, spread)
+    return Models(**{**vars(models), "limits": limits, "spread": spread})
 
 
 def identify(documents: DataFrame, models: Models | None) -> DataFrame:
     """Appends lang_pred, score (0 to 1: the weight of the best language, texts counting as 64 symbols at most) and
-    rejected (no language, or a cross-entropy above the language's limit)."""
+    rejected (no language, or segments whose cross-entropies are above their languages' limits on average)."""
     others = [c for c in documents.columns if c.lower() not in ("lang_pred", "score", "rejected")]
     sent, at = documents.sparkSession.sparkContext.broadcast(models), others.index("text")
 
@@ -249,12 +280,12 @@ def identify(documents: DataFrame, models: Models | None) -> DataFrame:
                     scores += [0.0] * len(part)
                     rejected += [True] * len(part)
                     continue
-                bits, sizes, letters = models.cross_entropies(part)
+                bits, sizes, letters, least, votes = models.judged(part)
                 best = bits.argmin(axis=1)
                 weight = (64.0 * sizes / (sizes + 64.0))[:, None] * (bits - bits.min(axis=1)[:, None])
                 top = 1 / np.exp2(-weight).sum(axis=1)
-                limit = models.limits[best] + 3 * models.spread[best] / np.sqrt(np.maximum(sizes, 1))
-                over = bits[np.arange(len(part)), best] > limit
+                some = np.maximum(sizes, 1)
+                over = least > votes @ models.limits / some + 3 * (votes @ models.spread / some) / np.sqrt(some)
                 none = letters == 0
                 langs += [UNKNOWN if n else models.languages[b] for n, b in zip(none, best, strict=True)]
                 scores += np.where(none, 0.0, np.round(top, 6)).tolist()

@@ -246,6 +246,21 @@ def test_language_edges(spark):
     assert strange[0]["rejected"] and not strange[1]["rejected"]
 
 
+def test_language_rejection(spark):
+    """Random letters and languages that weren't learned are rejected, texts of two learned ones aren't."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("text is not null").select("doc_id", "text", "lang")
+    models = langid.train(docs.where("lang <> 'es' and doc_id % 3 <> 0"))
+    assert (models.limits <= models.chance).all() and (models.spread > 0).all()
+    r = random.Random(7)
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. "
+    strange = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(n)) for n in (100, 600, 600, 5000)] + [finnish, finnish * 3]
+    strange += [x["text"] for x in docs.where("lang = 'es' and length(text) > 300").orderBy("doc_id").limit(20).collect()]
+    of = {x: [y["text"] for y in docs.where(f"lang = '{x}' and doc_id % 3 = 0 and length(text) > 300").orderBy("doc_id").limit(20).collect()] for x in ("de", "en")}
+    mixed = [x[:300] + " " + y[:300] for x, y in zip(of["de"], of["en"])]
+    got = langid.identify(plain(spark, list(enumerate(strange + mixed))), models).orderBy("doc_id").collect()
+    assert all(x["rejected"] for x in got[: len(strange)]) and not any(x["rejected"] for x in got[len(strange) :]) and len(mixed) > 9
+
+
 def test_language_chunks():
     """A text longer than a chunk scores as the same text in one piece."""
     m = langid.fit({"a": Counter({"   a": 2, "  ab": 1, " ab ": 3, "ab c": 1, "b ca": 2}), "b": Counter({"   z": 1})}, 4)
