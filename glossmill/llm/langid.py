@@ -38,6 +38,8 @@ _DISCOUNT = 0.75
 SEGMENT = 128
 #: The share of a language's own held segments that its limit keeps.
 _QUANTILE = 0.99
+#: Languages of fewer documents have none held out.
+RARE = 50
 
 
 @functools.lru_cache(maxsize=1)
@@ -201,7 +203,8 @@ def fit(counts: dict[str, dict[str, int]], order: int) -> Models:
 
 
 def train(labelled: DataFrame, order: int = 4, sample: int = 1000) -> Models | None:
-    """From (doc_id, text, lang). A fifth of the sample sets the thresholds of rejection, the rest the models."""
+    """From (doc_id, text, lang). A fifth of the sample sets the thresholds of rejection, the rest the models. Languages
+    of fewer than RARE documents have their models from all of them, and no calibrated threshold."""
     rows = labelled.where("doc_id is not null and text is not null and lang is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
@@ -220,7 +223,8 @@ def train(labelled: DataFrame, order: int = 4, sample: int = 1000) -> Models | N
         for lang, grams in seen.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["lang", "gram", "n"])
 
-    held = F.pmod(F.xxhash64(F.lit(1), "place"), F.lit(5)) == 0
+    common = [lang for lang, n in sizes.items() if n >= RARE]
+    held = (F.pmod(F.xxhash64(F.lit(1), "place"), F.lit(5)) == 0) & F.col("lang").isin(*common)
     found = taken.where(~held).select("text", "lang").mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     counts: dict[str, dict[str, int]] = defaultdict(dict)
     for lang, gram, n in zip(*(found.column(c).to_pylist() for c in ("lang", "gram", "n")), strict=True):

@@ -261,6 +261,12 @@ def test_language_rejection(spark):
     assert all(x["rejected"] for x in got[: len(strange)]) and not any(x["rejected"] for x in got[len(strange) :]) and len(mixed) > 9
 
 
+def test_rare_languages(spark):
+    """A language of few labelled documents has a model, wherever these fall by hash."""
+    rows = [(n, f"text {n} of language l{n % 40}", f"l{n % 40}") for n in range(60)]
+    assert langid.train(plain(spark, rows, "doc_id long, text string, lang string")).languages == tuple(sorted({x for *_, x in rows}))
+
+
 def test_language_chunks():
     """A text longer than a chunk scores as the same text in one piece."""
     m = langid.fit({"a": Counter({"   a": 2, "  ab": 1, " ab ": 3, "ab c": 1, "b ca": 2}), "b": Counter({"   z": 1})}, 4)
