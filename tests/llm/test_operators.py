@@ -3,6 +3,8 @@
 import itertools
 import math
 import random
+import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -336,6 +338,23 @@ def test_licences(spark):
     assert got["q/both"][0] in ("MIT", "CC-BY-NC-4.0") and licenses.scan(frame.limit(0)).count() == 0
 
 
+def test_licence_texts(spark):
+    """Full texts and wrapped headers, whose single lines or whole texts are like no short template."""
+    paragraphs = lambda text: re.sub(r" (?=[123]\. |THIS SOFTWARE)", "\n\n", text)
+    wrapped = lambda text, mark: "\n".join(mark + x for x in textwrap.wrap(text, 60))
+    bsd2, bsd3, mit = (text for _, text in licenses.TEXTS)
+    headers = [(name, text) for name, text in licenses.HEADERS if text.startswith("This")]
+    code = "\n\nimport os\n\ndef main():\n    return os.getcwd()\n" * 9
+    files = {"two/LICENSE": "Copyright (c) 2020, A. Person\n\n" + paragraphs(bsd2), "two/x.c": "int x;", "three/LICENSE": "BSD 3-Clause License\n\nCopyright (c) 2020, A. Person\n\n" + paragraphs(bsd3), "three/x.c": "int x;"}
+    files |= {"mit/LICENSE.txt": "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + wrapped(mit, ""), "src/two.c": paragraphs(bsd2) + code, "src/three.c": paragraphs(bsd3) + code}
+    files |= {f"src/{n}.py": wrapped(text, "# ") + code for n, (_, text) in enumerate(headers)}
+    body = "\n\n".join(f"{n}. Section {n} says that you may convey covered works under terms of section {n + 1}." for n in range(50))
+    files |= {"gpl/COPYING": "    GNU GENERAL PUBLIC LICENSE\n      Version 2, June 1991\n\n" + body, "apache/LICENSE": "   Apache License\n  Version 2.0, January 2004\n http://www.apache.org/licenses/\n\n" + body}
+    want = {"two/LICENSE": "BSD-2-Clause", "two/x.c": "BSD-2-Clause", "three/LICENSE": "BSD-3-Clause", "three/x.c": "BSD-3-Clause", "mit/LICENSE.txt": "MIT", "src/two.c": "BSD-2-Clause", "src/three.c": "BSD-3-Clause"}
+    want |= {f"src/{n}.py": name for n, (name, _) in enumerate(headers)} | {"gpl/COPYING": "GPL-2.0", "apache/LICENSE": "Apache-2.0"}
+    assert {r["path"]: r["license"] for r in licenses.scan(plain(spark, list(files.items()), "path string, text string")).collect()} == want
+
+
 # --- 6 exact top-k
 
 
