@@ -5,6 +5,7 @@ import math
 import random
 import re
 import textwrap
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -523,6 +524,67 @@ def test_pages_of_the_table(spark):
         assert html_text.main_text(page) == "\n\n".join(p for p in parts if p)
 
 
+DENSE = "The report says that most of the people in the town were at home when it began to rain, and that no one saw it."
+RUSSIAN = "В этом году в городе было много гостей, и на улицах не было места, но никто из них не хотел уезжать домой."
+SWAHILI = "Watu wengi walikuja mjini siku hiyo, wakakaa kando ya mto mpaka jua lilipozama nyuma ya milima mirefu."
+MENU = "<ul><li><a href=/a>Home</a><li><a href=/b>News</a><li><a href=/c>Contact</a></ul>"
+UNMARKED = [
+    # Pages without article or main elements, which the two passes decide.
+    (f"{MENU}<h1>Rain</h1><p>{DENSE}</p><p>Short one.</p><p>{DENSE}</p>{MENU}<p>Terms</p>", ["Rain", DENSE, "Short one.", DENSE]),
+    (f"{MENU}<p>Subscribe now</p>{MENU}<h2>Rain</h2><p>{DENSE}</p>", ["Rain", DENSE]),
+    (f"<div>{MENU}</div><p>{RUSSIAN}</p><p>Да.</p><div>{MENU}</div>", [RUSSIAN, "Да."]),
+    (f"<div>{MENU}</div><p>{SWAHILI}</p><p>Ndiyo.</p><div>{MENU}</div>", [SWAHILI, "Ndiyo."]),
+    (f"<p>{DENSE}</p><p>SKU 4711 0815 / 90210 / 31337 / 27182 / 16180 / 14142 / 17320 / 22360 / 24494 / 26457</p><p>{DENSE}</p>", [DENSE, DENSE]),
+    (f"<p>{DENSE}</p><p>Canon EOS 5D Mark IV. Nikon Z6 II. Sony Alpha 7R. Leica M11 Monochrom. Fujifilm X100 VI. Pentax K3.</p><p>{DENSE}</p>", [DENSE, DENSE]),
+    (f"<p>{DENSE}</p><div class=comments><p>{DENSE} I agree.</p></div><div id='cookie-banner'><p>{DENSE}</p></div>", [DENSE]),
+]
+MARKED = [
+    (f"<div class='content-sidebar-wrap has-comments'><article class='post social-history'><p>{DENSE}</p></article><div class='sidebar-left'>{DENSE}</div></div>", [DENSE]),
+    (f"<div class='layout has-sidebar'><main><p>{DENSE}</p></main></div>", [DENSE]),
+    (f"<form><div class=header>Head</div><main><p>{DENSE}</p></main></form>", [DENSE]),
+    (f"<div class='search'><h1>Rain</h1><p>{DENSE}</p><p>End.</p></div>", ["Rain", DENSE, "End."]),
+    (f"<article><a name=top><p>{DENSE}</p><p>{DENSE}</p></article>", [DENSE, DENSE]),
+    (f"<article><p><a href=x>unclosed</p><p>{DENSE}</p><p>{DENSE}</p></article>", [DENSE, DENSE]),
+    (f"<article><header><h1>Title</h1><p>By me</p></header><p>{DENSE}</p><div id=comments><article class=comment><p>{DENSE}</p></article></div></article>", ["Title", DENSE]),
+    (f"<div id=wrap><a href=x><h3>Card</h3><p>{DENSE}</p></a><p>{DENSE} Two.</p></div>", [DENSE + " Two."]),
+    ("<article><p>One.</p><p>42</p></article><div>" + DENSE + "</div>", ["One.", "42"]),
+    ("<article><p>1 &lt; 2 < 3 &#38; a</br>b &notit; &#xD800; &#99999999999;</p></article>", ["1 < 2 < 3 & a b ¬it; \ufffd \ufffd"]),
+]
+
+
+@pytest.mark.parametrize(("page", "parts"), UNMARKED + MARKED)
+def test_block_rules(page, parts):
+    assert html_text.main_text(page) == "\n\n".join(parts)
+
+
+def test_both_passes_decide(monkeypatch):
+    """Without the first pass, or the second, pages without an article element come out wrong."""
+    kept = lambda page: [b.text for b in html_text.classify(*html_text.blocks(page)) if b.label == "good"]
+    with monkeypatch.context() as m:
+        m.setattr(html_text, "first_pass", lambda found, marks: None)
+        assert all(kept(page) != parts for page, parts in UNMARKED)
+    with monkeypatch.context() as m:
+        m.setattr(html_text, "second_pass", lambda found: None)
+        assert sum(kept(page) != parts for page, parts in UNMARKED) >= 4
+    with monkeypatch.context() as m:
+        m.setattr(html_text, "STOP_WORDS", frozenset())
+        assert any(kept(page) != parts for page, parts in UNMARKED)
+    assert all(kept(page) == parts for page, parts in UNMARKED)
+
+
+@pytest.mark.parametrize(
+    "unit",
+    ["<a", "<a ", "<a href=x>", '<a ">" ', "<a '>", "<div>", "<div class=ad>", "<script></script ", "<!--", "&#1", "&#0", "<p>", "</", "&", "<ul><li>", "<table><td>", "</p>", "<article>", "<x y=\"", "class=", "<b class ", ".'"],
+)
+def test_broken_pages_take_linear_time(unit):
+    times = []
+    for n in (30_000, 240_000):
+        began = time.perf_counter()
+        html_text.main_text("<section><div class=comments><article>" + unit * n + "</section>x</div>" * 1000)
+        times.append(time.perf_counter() - began)
+    assert times[1] < 20 * times[0] + 2
+
+
 # --- all queries with SQL
 
 
