@@ -26,7 +26,8 @@ from glossmill.llm.tokens import encoder
 from glossmill.llm.workspace import Workspace
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, ids binary, task int, nth long"
-#: More slot ranges than this (some 4 MB) are joined by a shuffle; a plan of 2048 lengths has a few thousand.
+#: More slot ranges than this (some 4 MB) are joined by a shuffle; a plan of 2048 lengths has a few thousand. Likewise
+#: the first ranks of the tasks, of which there are at most as many as lengths for each task.
 BROADCAST_RANGES = 100_000
 RANGE = "length int, rank_from long, rank_to long, sequence_from long, per_sequence int, place int"
 
@@ -150,11 +151,13 @@ def pack(documents: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0
     work = Workspace(spark, "packing")
     cut = work.cut(pieces(documents, tokenizer, size, end_id, keep_ids), "pieces")
     held = work.cut(cut.groupBy("length", "task").agg(F.count("*").alias("held")), "held")
-    histogram = {r["length"]: r["held"] for r in held.groupBy("length").agg(F.sum("held").alias("held")).collect()}  # at most `size` rows
+    lengths = held.groupBy("length").agg(F.sum("held").alias("held"), F.count("*").alias("tasks")).collect()  # at most `size` rows
+    histogram = {r["length"]: r["held"] for r in lengths}
     slots = plan(histogram, size)
     ranges = spark.createDataFrame([(*vars(x).values(),) for x in slots], RANGE)
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     starts = held.select("length", "task", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("rank_0"))
+    starts = F.broadcast(starts) if sum(r["tasks"] for r in lengths) <= BROADCAST_RANGES else starts.hint("merge")
     # A task's ranks of one length are an interval, so only the ranges that meet it are kept for it.
     rank = F.col("rank_0") + F.col("nth")
     r = ranges.withColumnRenamed("length", "range_length")

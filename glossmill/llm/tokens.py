@@ -1,14 +1,16 @@
 """Token ids of a public byte-level BPE vocabulary, given by the path of its ``tokenizer.json``.
 
 The ids are those of the ``tokenizers`` library. They are computed by ``tiktoken`` with the same vocabulary, which
-takes a quarter of the time; texts that hold one of the vocabulary's added tokens, and vocabularies of any other
-form, go to ``tokenizers`` itself. A test holds both against each other.
+takes a quarter of the time; texts that hold one of the vocabulary's added tokens or a run of more than LONG_SPACE
+white-space characters (for which its regular expression needs too deep a stack), and vocabularies of any other form,
+go to ``tokenizers`` itself. A test holds both against each other.
 """
 
 from __future__ import annotations
 
 import functools
 import json
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -16,6 +18,9 @@ import numpy as np
 #: The pre-tokenisation pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+LONG_SPACE = 100_000
+_SPACE = re.compile(r"\s++")
+
 
 def _byte_of_symbol() -> dict[str, int]:
     """Byte-level vocabularies write printable bytes as themselves and the others, in order, from U+0100 on."""
@@ -57,7 +62,7 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     fast = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> np.ndarray:
-        if any(x in text for x in added):
+        if any(x in text for x in added) or len(text) > LONG_SPACE and any(m.end() - m.start() > LONG_SPACE for m in _SPACE.finditer(text)):
             return slow(text)
         return np.array(fast.encode_ordinary(text), np.uint32)
 

@@ -71,6 +71,12 @@ def test_token_ids(text):
     assert tokens.encoder(BPE)(text).tolist() == EXACT.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("unit", [" ", "\n", "\u00a0", " \t\r\n"])
+def test_token_ids_of_long_white_space(unit):
+    for text in (unit * (2_000_000 // len(unit)), "a" + unit * 90_000 + "b " + unit * 100_001 + "c"):
+        assert tokens.encoder(BPE)(text).tolist() == EXACT.encode(text, add_special_tokens=False).ids
+
+
 def test_token_ids_of_special_strings_and_tables():
     exact, fast = EXACT, tokens.encoder(BPE)
     texts = pq.read_table(f"{SMALL}/documents.parquet")["text"].to_pylist() + ["a<|endoftext|>b", "  two  spaces\n\n\ttabs ", "don't I'll WE'VE", " ", ""]
@@ -129,6 +135,21 @@ def test_packing(spark):
 # --- 2 n-gram Jaccard join
 
 
+def test_packing_by_shuffle(spark, monkeypatch):
+    """Plans and first ranks that are too large to broadcast give the same pieces."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").repartition(8)
+    key = ("doc_id", "piece", "start", "length", "ids_crc32")
+    want = sorted(tuple(r[c] for c in key) for r in packing.pack(docs, BPE).collect())
+    monkeypatch.setattr(packing, "BROADCAST_RANGES", 0)
+    got = packing.pack(docs, BPE).collect()
+    assert sorted(tuple(r[c] for c in key) for r in got) == want
+    filled = defaultdict(list)
+    for r in got:
+        filled[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in filled.values():
+        assert sum(n for _, n in parts) <= 2048 and all(a == sum(n for b, n in parts if b < a) for a, _ in parts)
+
+
 def shingles(text, n=5):
     w = (text or "").encode().lower().split()
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
