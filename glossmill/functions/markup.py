@@ -401,6 +401,17 @@ def render(bodies: pd.Series, markups: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([render_body(b, m) for b, m in zip(bodies, markups, strict=True)], columns=["text", "spans", "links"])
 
 
+@F.pandas_udf(RENDERED)
+def render_field(kinds: pd.Series, bodies: pd.Series) -> pd.DataFrame:
+    """StarDict fields by their types."""
+    return pd.DataFrame([stardict_field(k, b.encode()) for k, b in zip(kinds, bodies, strict=True)], columns=["text", "spans", "links"])
+
+
+@F.pandas_udf(T.StringType())
+def colours(names: pd.Series) -> pd.Series:
+    return names.map(lambda n: colour(n) if n is not None else None)
+
+
 @F.pandas_udf(T.StringType())
 def entities(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: decode_entities(t) if t is not None else None)

@@ -15,6 +15,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glossmill.sources.codecs import ripemd128
+
 
 def normalize_word(word: str | None) -> str:
     """Compatibility decomposition without nonspacing marks, in lower case; null gives the empty string."""
@@ -33,6 +35,12 @@ def normalize(words: pd.Series) -> pd.Series:
     return pd.Series([table[c] for c in codes], index=words.index, dtype=object)
 
 
+@F.pandas_udf(T.StringType())
+def ripemd128_hex(messages: pd.Series) -> pd.Series:
+    """Digests of texts in UTF-8."""
+    return messages.map(lambda m: ripemd128(m.encode()).hex() if m is not None else None)
+
+
 def replaced(text: Column, pairs: Iterable[tuple[str, str]]) -> Column:
     """Literal replacements, one after another."""
     for old, new in pairs:

@@ -51,11 +51,11 @@ def save(rows: DataFrame, path: str) -> None:
 def load(spark: SparkSession, path: str, schema: str = LOG) -> DataFrame:
     """A log or bookmarks, newest first. If any line is malformed or lacks its word, all are dropped, as one that was
     cut off in the middle can't be told from a changed one."""
-    key = "word" if "word" in schema else "headword"
+    key = "headword" if "headword" in schema else "word"
     rows = spark.read.schema(f"{schema}, _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
     bad = F.col("_corrupt_record").isNotNull() | F.col(key).isNull() | F.col("ts").isNull()
-    broken = rows.select(bad.alias("bad"), F.lit(1).alias("one")).where("bad").limit(1).select(F.lit(1).alias("broken"))
-    return rows.join(F.broadcast(broken), F.lit(True), "left_anti").drop("_corrupt_record").orderBy(F.desc("ts"))
+    whole = rows.select(F.col("_corrupt_record"), key, "ts").agg(F.coalesce(F.max(bad), F.lit(False)).alias("bad")).first()["bad"] is False
+    return rows.where(F.lit(whole)).drop("_corrupt_record").orderBy(F.desc("ts"))
 
 
 def shown(log: DataFrame) -> DataFrame:

@@ -5,10 +5,14 @@ Tables are Parquet partitioned by dict_id. Replacing a dictionary overwrites its
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glossmill.functions.text import normalize, plain_text, thousands
+from glossmill.shared import exists
 
 ENTRIES = "dict_id string, entry_seq long, headword string, headword_normalized string, byte_offset long, byte_length long, entry_key string"
 
@@ -100,6 +104,61 @@ def listing(dictionaries: DataFrame, counts: DataFrame, stale: DataFrame) -> Dat
     return both.select("name", F.upper("format_name").alias("format"), pair.alias("languages"), thousands(F.coalesce("entries", F.lit(0))).alias("entries"), status.alias("status"), "path").orderBy("name", "path")
 
 
+def marked_fulltext(metadata: DataFrame, dict_ids: DataFrame) -> DataFrame:
+    """Metadata with the mark that the full text of these dictionaries is stored."""
+    mark = dict_ids.select("dict_id", F.lit("fts-indexed").alias("key"), F.lit("yes").alias("value"), F.unix_micros(F.current_timestamp()).alias("seq"))
+    return metadata.unionByName(mark)
+
+
+def backfill(bodies: DataFrame, metadata: DataFrame, path: str, build: bool = True) -> DataFrame:
+    """Stores the full text of the dictionaries of bodies that have no mark yet, and returns the metadata with their
+    marks. Without ``build``, the switch for full text, nothing is done."""
+    if not build:
+        return metadata
+    missing = without_fulltext(bodies.select("dict_id").distinct(), metadata).select("dict_id")
+    rows = documents(bodies.join(missing, "dict_id", "left_semi"))
+    rows.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("dict_id").parquet(path)
+    return marked_fulltext(metadata, missing)
+
+
+def to_index(dictionaries: DataFrame, registry) -> DataFrame:
+    """The dictionaries that an indexing run takes: without those of formats that skip indexing."""
+    return dictionaries.where(~F.col("format_name").isin([f.name for f in registry.formats if f.skip_index]))
+
+
+class Run:
+    """One indexing run into a store: dictionary by dictionary, with their outcomes. ``stop`` cancels the jobs of the
+    one at work; those after it are left as they are."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.stopped, self.rows = spark, path, False, []
+        self.group = f"indexing-{uuid.uuid4().hex}"
+
+    def index(self, dict_id: str, read: Callable[[], DataFrame]) -> None:
+        error, entries = None, None
+        if self.stopped:
+            error = "stopped"
+        else:
+            self.spark.sparkContext.setJobGroup(self.group, f"indexing {dict_id}", interruptOnCancel=True)
+            try:
+                rows = indexed(read())
+                store(rows, self.path)
+                entries = rows.count()
+            except Exception as e:  # a broken dictionary ends neither the run nor the others
+                error = "stopped" if self.stopped else str(e)[:500]
+            finally:
+                self.spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        self.rows.append((dict_id, error, entries))
+
+    def stop(self) -> None:
+        self.stopped = True
+        self.spark.sparkContext.cancelJobGroup(self.group)
+
+    def outcomes(self) -> DataFrame:
+        """(dict_id, error, entries), as ``totals`` takes them."""
+        return self.spark.createDataFrame(self.rows, "dict_id string, error string, entries long")
+
+
 def without_fulltext(dictionaries: DataFrame, metadata: DataFrame) -> DataFrame:
     """Dictionaries whose full text isn't indexed yet."""
     marked = latest(metadata).where("key = 'fts-indexed' and value = 'yes'")
@@ -123,6 +182,18 @@ def resource(keys: DataFrame, resources: DataFrame) -> DataFrame:
     return keys.join(best, ["dict_id", "key"], "left").withColumn("missing", F.col("content").isNull())
 
 
+def cache_resources(keys: DataFrame, resources: DataFrame, path: str) -> DataFrame:
+    """``resource`` with a stored cache (dict_id, key, content, missing): only keys that it hasn't are looked up, and
+    what isn't there is remembered as missing."""
+    spark = keys.sparkSession
+    schema = "dict_id string, key string, content binary, missing boolean"
+    keys = keys.select("dict_id", "key").distinct()
+    held = spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+    new = keys.join(held.select("dict_id", "key"), ["dict_id", "key"], "left_anti")
+    resource(new, resources).select("dict_id", "key", "content", "missing").write.mode("append").parquet(path)
+    return keys.join(spark.read.schema(schema).parquet(path), ["dict_id", "key"])
+
+
 def running(blocks: DataFrame) -> DataFrame:
     """Total unpacked size by dictionary."""
     return blocks.groupBy("dict_id").agg(F.sum("size").alias("total"))

@@ -7,12 +7,14 @@ with literals and are pushed to the scan; tables partitioned by dict_id are prun
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glossmill.functions.text import literal_prefix, normalize_word, wildcard_regex
+from glossmill.shared import delete, exists, put
 
 PREFIX_LIMIT = 100
 WILDCARD_LIMIT = 200
@@ -107,9 +109,32 @@ def wildcard_everywhere(entries: DataFrame, pattern: str, limit: int = WILDCARD_
 
 
 def completion_index(entries: DataFrame) -> DataFrame:
-    """Every different headword with the number of dictionaries that have its normalised form."""
-    counted = entries.groupBy("headword_normalized").agg(F.count_distinct("dict_id").alias("dict_count"))
-    return entries.select("headword", "headword_normalized").distinct().join(counted, "headword_normalized").select("headword", "headword_normalized", "dict_count")
+    """Every different headword with the number of dictionaries that have its normalised form. Entries are made
+    different first, in the tasks that read them; a form then meets its headwords and dictionaries, which are few."""
+    different = entries.select("dict_id", "headword", "headword_normalized").distinct()
+    forms = different.groupBy("headword_normalized").agg(F.collect_set("headword").alias("headwords"), F.size(F.collect_set("dict_id")).cast("long").alias("dict_count"))
+    return forms.select(F.explode("headwords").alias("headword"), "headword_normalized", "dict_count")
+
+
+def rebuild_completions(entries: DataFrame, path: str) -> None:
+    """Stores the completion index of the entries in place of an older one, which readers keep until the new one is
+    whole: each is a folder of its own, and a small file names the one that counts."""
+    spark, name = entries.sparkSession, uuid.uuid4().hex
+    rows = completion_index(entries).repartitionByRange("headword_normalized").sortWithinPartitions("headword_normalized", "headword")
+    rows.write.parquet(f"{path}/{name}")
+    old = _current(spark, path)
+    put(spark, f"{path}/current", name.encode())
+    if old:
+        delete(spark, f"{path}/{old}")
+
+
+def _current(spark: SparkSession, path: str) -> str | None:
+    return spark.read.text(f"{path}/current").first()["value"] if exists(spark, f"{path}/current") else None
+
+
+def completions(spark: SparkSession, path: str) -> DataFrame:
+    """The stored completion index as it is now."""
+    return spark.read.schema("headword string, headword_normalized string, dict_count long").parquet(f"{path}/{_current(spark, path)}")
 
 
 def complete(completions: DataFrame, text: str, limit: int = COMPLETION_LIMIT, minimum: int = COMPLETION_MINIMUM) -> DataFrame:

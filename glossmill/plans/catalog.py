@@ -2,29 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glossmill.functions import headwords, text
 from glossmill.operators import fulltext, history, index, lookup, scope, spans
 from glossmill.plans import corpus
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
+from glossmill.plans.registered import ORACLES, QUERIES, query  # noqa: F401  the registry is read here too
 
 # Common parts of the SQL. strip_accents(lower()) equals the normalised form on these tables.
 _DICTS = """dicts AS (SELECT DISTINCT source || '/' || lang AS dict_id, lang AS source_lang, 'en' AS target_lang, regexp_extract(source, '[0-9]+', 0)::INTEGER AS priority, source FROM documents),

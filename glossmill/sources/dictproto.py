@@ -14,6 +14,8 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from glossmill.sources.registry import Format
+
 TIMEOUT = 10
 PRIORITY = 100
 GROUP = "DICT Servers"
@@ -110,6 +112,56 @@ def discover(servers: list[str], enabled: bool = False, transport: Transport = s
     return out
 
 
+class Pool:
+    """Connections by server, kept and used again while they answer."""
+
+    def __init__(self, connect: Transport = sockets):
+        self.connect, self.open = connect, {}
+
+    def transport(self, host: str, port: int):
+        """For clients that are made elsewhere: a server's connection as it is, without a second banner."""
+        client = self.client(host, port)
+        waiting = ["220 connected"]
+        return client.send, lambda: waiting.pop() if waiting else client.receive()
+
+    def client(self, host: str, port: int) -> Client:
+        if (host, port) not in self.open:
+            self.open[host, port] = Client(host, port, self.connect)
+        return self.open[host, port]
+
+    def drop(self, host: str, port: int) -> None:
+        """Forgets a connection that doesn't answer."""
+        self.open.pop((host, port), None)
+
+
+class DictServer(Format):
+    """Dictionary servers as a format without files: they list their dictionaries and answer words themselves."""
+
+    name = "dict-protocol"
+    skip_index = True
+    markup = "text"
+
+    def __init__(self, servers: list[str] | None = None, enabled: bool = False, connect: Transport = sockets):
+        self.servers, self.enabled, self.connect = servers or [], enabled, connect
+        self.pool: Pool | None = None  # made where it is used
+
+    def detect(self, path: str, head: bytes) -> bool:
+        return parse_path(path) is not None
+
+    def discover(self) -> list[dict]:
+        return [{k: v for k, v in d.items() if k != "skip_index"} for d in discover(self.servers, self.enabled, self.connect)]
+
+    def query_exact(self, path: str, word: str) -> Iterator[tuple[str, str]]:
+        host, port, database = parse_path(path)
+        self.pool = self.pool or Pool(self.connect)
+        try:
+            found = self.pool.client(host, port).define(database, word)
+        except OSError:
+            self.pool.drop(host, port)
+            raise
+        return ((f"{word}:{n}", body) for n, body in enumerate(found))
+
+
 class _Database(InputPartition):
     def __init__(self, host: str, port: int, name: str, title: str):
         self.host, self.port, self.name, self.title = host, port, name, title

@@ -60,6 +60,14 @@ class Format:
         """A function from an entry to its body as text."""
         raise NotImplementedError
 
+    def discover(self) -> list[dict]:
+        """Dictionaries that aren't files, by the columns of ``scan.HOOKED``."""
+        return []
+
+    def query_exact(self, path: str, word: str) -> Iterator[tuple[str, str]] | None:
+        """(key, body) of a word's entries in a dictionary, by the format itself; None where entries are stored."""
+        return None
+
 
 class Registry:
     """Formats by name, the latest first; a name that is registered again replaces the old format."""

@@ -1,11 +1,13 @@
 """From directories of dictionary files to tables: discovery, entries, bodies, resources.
 
-Files are read by Spark's binaryFile source. Each dictionary is one row of file contents, which a task decodes in a
-stream of batches; tasks are spread by dictionary, and rows of a batch are written as they come.
+Files are read by Spark's binaryFile source. A dictionary's files are rows that come together in one task, which
+decodes them in a stream of batches; tasks are spread by dictionary, and rows of a batch are written as they come.
+Formats are told by the beginnings of files.
 """
 
 from __future__ import annotations
 
+import hashlib
 import io
 import zipfile
 from collections.abc import Iterator, Sequence
@@ -16,7 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossmill.functions.text import group_label
+from glossmill.operators.scope import ordered_as
+from glossmill.shared import exists
 from glossmill.sources.bgl import Bgl
+from glossmill.sources.dictproto import DictServer
 from glossmill.sources.dsl import Dsl
 from glossmill.sources.epwing import Epwing
 from glossmill.sources.mdict import MDict
@@ -25,13 +30,16 @@ from glossmill.sources.stardict import StarDict
 
 DICTIONARIES = "path string, format_name string, name string, source_lang string, target_lang string, group string, mtime long, error string"
 ENTRIES = "dict_id string, entry_seq long, headword string, byte_offset long, byte_length long, entry_key string"
+HOOKED = "path string, format_name string, name string, source_lang string, target_lang string, group string, priority int"
 BODIES = "dict_id string, entry_seq long, headword string, raw string, markup string"
 _BATCH = 4096
+#: Bytes by which a format is told; a packed file's table of chunks may take up half of them.
+HEAD = 1 << 17
 
 
 def standard() -> Registry:
     out = Registry()
-    for f in (Dsl(), StarDict(), MDict(), Bgl(), Epwing()):
+    for f in (Dsl(), StarDict(), MDict(), Bgl(), Epwing(), DictServer()):
         out.register(f)
     return out
 
@@ -46,21 +54,36 @@ def _main(registry: Registry, path: str) -> bool:
 
 
 def _with_companions(found: DataFrame, registry: Registry, mains: DataFrame) -> DataFrame:
-    """(path, format_name, mtime, files): each main file with the contents of itself and its companions."""
+    """(path, format_name, mtime, file, content): each main file's own row and those of its companions, together and in
+    order of path. No row holds more than one file."""
     names = {f.name: f for f in registry.formats}
 
     @F.pandas_udf("array<string>")
     def needed(paths: pd.Series, formats: pd.Series) -> pd.Series:
         return pd.Series([[p, *names[f].companions(p)] for p, f in zip(paths, formats, strict=True)])
 
-    asked = mains.withColumn("needed", F.explode(needed("path", "format_name")))
-    held = found.select(F.col("path").alias("needed"), "content")
-    both = asked.join(held, "needed").groupBy("path", "format_name", "mtime")
-    return both.agg(F.collect_list(F.struct(F.col("needed").alias("path"), "content")).alias("files"))
+    asked = mains.withColumn("file", F.explode(needed("path", "format_name")))
+    both = asked.join(found.select(F.col("path").alias("file"), "content"), "file")
+    return both.repartition("path").sortWithinPartitions("path", "file").select("path", "format_name", "mtime", "file", "content")
+
+
+def _dictionaries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str, int, dict[str, bytes]]]:
+    """(path, format name, time, contents by file) of each dictionary of sorted rows."""
+    now, files = None, {}
+    for batch in batches:
+        for path, kind, mtime, file, content in zip(*(batch.column(n) for n in range(5)), strict=True):
+            key = (path.as_py(), kind.as_py(), mtime.as_py())
+            if now is not None and key[0] != now[0]:
+                yield (*now, files)
+                files = {}
+            now = key
+            files[file.as_py()] = content.as_py()
+    if now is not None:
+        yield (*now, files)
 
 
 def mains(found: DataFrame, registry: Registry) -> DataFrame:
-    """(path, format_name, mtime) of files that a format takes."""
+    """(path, format_name, mtime) of files that a format takes; only the first HEAD bytes of a file are looked at."""
 
     @F.pandas_udf("string")
     def kind(paths: pd.Series, contents: pd.Series) -> pd.Series:
@@ -69,7 +92,8 @@ def mains(found: DataFrame, registry: Registry) -> DataFrame:
 
     ends = F.lower("path").rlike("(?:" + "|".join(x.replace(".", "[.]") for x in registry.extensions()) + ")$")
     likely = found.where(ends & ~F.lower("path").rlike(r"_abrv\.[^/]*$"))
-    return likely.select("path", F.unix_seconds("modificationTime").alias("mtime"), kind("path", "content").alias("format_name")).where("format_name is not null")
+    head = F.substring("content", 1, HEAD)
+    return likely.select("path", F.unix_seconds("modificationTime").alias("mtime"), kind("path", head).alias("format_name")).where("format_name is not null")
 
 
 def discover(spark: SparkSession, directories: Sequence[str], registry: Registry | None = None) -> DataFrame:
@@ -77,20 +101,20 @@ def discover(spark: SparkSession, directories: Sequence[str], registry: Registry
     registry = registry or standard()
     found = files(spark, directories)
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples():
-                content = {f["path"]: bytes(f["content"]) for f in r.files}
-                try:
-                    m = registry.get(r.format_name).metadata(r.path, content)
-                    name = m.name or stem(base_name(r.path), *registry.extensions())
-                    rows.append((r.path, r.format_name, name, m.source_lang, m.target_lang, m.extra.get("group"), r.mtime, None))
-                except (ValueError, KeyError, IndexError, UnicodeError) as e:
-                    rows.append((r.path, r.format_name, None, "", "", None, r.mtime, str(e)))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in DICTIONARIES.split(", ")])
-
-    known = _with_companions(found, registry, mains(found, registry)).mapInPandas(read, DICTIONARIES)
+    names = [c.split()[0] for c in DICTIONARIES.split(", ")]
+    wanted = pa.schema([(n, pa.int64() if n == "mtime" else pa.string()) for n in names])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path, kind, mtime, content in _dictionaries(batches):
+            try:
+                m = registry.get(kind).metadata(path, content)
+                name = m.name or stem(base_name(path), *registry.extensions())
+                row = (path, kind, name, m.source_lang, m.target_lang, m.extra.get("group"), mtime, None)
+            except (ValueError, KeyError, IndexError, UnicodeError) as e:
+                row = (path, kind, None, "", "", None, mtime, str(e))
+            yield pa.RecordBatch.from_pydict(dict(zip(names, ([x] for x in row), strict=True)), wanted)
+
+    known = _with_companions(found, registry, mains(found, registry)).mapInArrow(read, DICTIONARIES)
     label = group_label(F.col("source_lang"), F.col("target_lang"))
     return known.withColumn("group", F.coalesce("group", label)).withColumn("dict_id", F.md5("path"))
 
@@ -100,22 +124,19 @@ def _decoded(spark: SparkSession, directories: Sequence[str], registry: Registry
     names = [c.split()[0] for c in schema.split(", ")]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                content = {f["path"]: f["content"] for f in r["files"]}
-                waiting = []
-                for row in rows_of(registry.get(r["format_name"]), r["path"], content):
-                    waiting.append((r["dict_id"], *row))
-                    if len(waiting) == _BATCH:
-                        yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*waiting, strict=True)), strict=True)), wanted)
-                        waiting = []
-                if waiting:
+        for path, kind, _, content in _dictionaries(batches):
+            waiting, key = [], hashlib.md5(path.encode()).hexdigest()
+            for row in rows_of(registry.get(kind), path, content):
+                waiting.append((key, *row))
+                if len(waiting) == _BATCH:
                     yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*waiting, strict=True)), strict=True)), wanted)
+                    waiting = []
+            if waiting:
+                yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*waiting, strict=True)), strict=True)), wanted)
 
     kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
     wanted = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")])
-    known = _with_companions(found, registry, mains(found, registry)).withColumn("dict_id", F.md5("path"))
-    return known.mapInArrow(read, schema)
+    return _with_companions(found, registry, mains(found, registry)).mapInArrow(read, schema)
 
 
 def entries(spark: SparkSession, directories: Sequence[str], registry: Registry | None = None) -> DataFrame:
@@ -167,6 +188,45 @@ def resources(spark: SparkSession, directories: Sequence[str]) -> DataFrame:
     return _decoded(spark, directories, registry, rows, "dict_id string, key string, content binary")
 
 
+def hooked(spark: SparkSession, registry: Registry) -> DataFrame:
+    """Dictionaries that formats find themselves, by the columns of HOOKED, and dict_id."""
+    rows = [tuple(d[c.split()[0]] for c in HOOKED.split(", ")) for f in registry.formats for d in f.discover()]
+    return spark.createDataFrame(rows, HOOKED).withColumn("dict_id", F.md5("path"))
+
+
+def asked(spark: SparkSession, registry: Registry, dictionaries: DataFrame, words: Sequence[str]) -> DataFrame:
+    """(dict_id, word, entry_key, body) of words in dictionaries whose formats answer themselves; others have no rows
+    here, and a dictionary that fails has none. The words are an argument, so the table of them is small."""
+    asking = F.explode(F.array(*[F.lit(w) for w in dict.fromkeys(words)])).alias("word")
+    names = ["dict_id", "word", "entry_key", "body"]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                try:
+                    found = registry.get(r["format_name"]).query_exact(r["path"], r["word"])
+                    rows += [(r["dict_id"], r["word"], key, body) for key, body in found or ()]
+                except (OSError, ValueError, KeyError):
+                    continue
+            yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in rows], pa.string()) for n in range(4)], names)
+
+    known = dictionaries.where(F.col("format_name").isin([f.name for f in registry.formats]))
+    return known.select("dict_id", "path", "format_name", asking).mapInArrow(ask, "dict_id string, word string, entry_key string, body string")
+
+
+def import_order(spark: SparkSession, names: DataFrame, candidates: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Names (name, seq) in the order of the first configuration that is there, and the counts: of names that it has
+    (matched) and hasn't (unmatched), and of names in it that aren't here (unknown)."""
+    path = next((p for p in candidates if exists(spark, p)), None)
+    if path is None:
+        raise FileNotFoundError(f"no configuration among {list(candidates)}")
+    wanted = goldendict_order(spark, path)
+    ordered = ordered_as(names, wanted)
+    counted = ordered.agg(F.count_if("matched").alias("matched"), F.count_if(~F.col("matched")).alias("unmatched"))
+    return ordered, counted.select("matched", "unmatched", (F.lit(wanted.count()) - F.col("matched")).cast("long").alias("unknown"))
+
+
 def goldendict_order(spark: SparkSession, path: str) -> DataFrame:
     """(name, seq) of the dictionaryOrder part of another program's configuration, an XML file."""
     text = spark.read.text(path, wholetext=True)
