@@ -1,8 +1,8 @@
 """Ranked phrase search per dictionary: tokens, postings of the query's tokens, BM25, top rows, snippets.
 
-A query is one phrase. Only postings of the phrase's own tokens are made; a hit at token i of the phrase votes for
-the start that it implies, and a start with all votes is a match. So nothing is joined with itself, and the only
-shuffle of hits is a pre-aggregated count.
+A query is one phrase. It reads the postings of its own tokens from a stored inverted index, or makes them where
+documents aren't indexed. A hit at token i of the phrase votes for the start that it implies, and a start with all
+votes is a match. So nothing is joined with itself, and the only shuffle of hits is a pre-aggregated count.
 """
 
 from __future__ import annotations
@@ -11,9 +11,10 @@ import re
 import sys
 import unicodedata
 from functools import lru_cache
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LIMIT = 50
@@ -91,32 +92,79 @@ def _spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _hits(documents: DataFrame, words: list[str]) -> DataFrame:
-    """(dict_id, entry_seq, hits): starts of the phrase in either column; a phrase never spans both."""
-    places = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(w).alias("w")) for n, w in enumerate(words)])
-    columns = F.array(*[F.struct(F.lit(n).alias("side"), tokens(F.col(c)).alias("t")) for n, c in enumerate(("headword", "definition"))])
-    sides = documents.select("dict_id", "entry_seq", F.inline(columns))
+class Postings(NamedTuple):
+    """What a search reads, stored or not. entries: (token, dict_id, entry_seq, at) with the token's places in both
+    columns as one sequence, in which a gap keeps phrases from spanning both; documents: (dict_id, entry_seq, headword,
+    length in tokens); totals: (dict_id, n, average length)."""
+
+    entries: DataFrame
+    documents: DataFrame
+    totals: DataFrame
+
+
+def _sequence() -> Column:
+    return F.concat(tokens(F.col("headword")), F.array(F.lit("")), tokens(F.col("definition")))
+
+
+def _measured(documents: DataFrame) -> DataFrame:
+    return documents.select("dict_id", "entry_seq", "headword", (F.size(_sequence()) - 1).alias("length"))
+
+
+def _totals(measured: DataFrame) -> DataFrame:
+    return measured.groupBy("dict_id").agg(F.count("*").alias("n"), F.avg("length").alias("average"))
+
+
+def _as_postings(documents: DataFrame, words: list[str]) -> Postings:
+    """Of documents that aren't indexed, the postings of a query's own words."""
+    placed = documents.select("dict_id", "entry_seq", F.posexplode(_sequence()).alias("at", "token")).where(F.col("token").isin(words))
+    measured = _measured(documents)
+    return Postings(placed.groupBy("token", "dict_id", "entry_seq").agg(F.collect_list("at").alias("at")), measured, _totals(measured))
+
+
+def store_postings(documents: DataFrame, path: str) -> None:
+    """The inverted index of documents (dict_id, entry_seq, headword, definition), sorted by token, so a search reads the
+    row groups of its words. Frequent tokens are spread over partitions by document."""
+    placed = documents.select("dict_id", "entry_seq", F.posexplode(_sequence()).alias("at", "token")).where("token <> ''")
+    entries = placed.groupBy("token", "dict_id", "entry_seq").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    entries.repartitionByRange("token", "dict_id", "entry_seq").sortWithinPartitions("token", "dict_id", "entry_seq").write.parquet(f"{path}/entries")
+    _measured(documents).write.parquet(f"{path}/documents")
+    _totals(documents.sparkSession.read.parquet(f"{path}/documents")).write.parquet(f"{path}/totals")
+
+
+def postings(spark: SparkSession, path: str) -> Postings:
+    return Postings(
+        spark.read.schema("token string, dict_id string, entry_seq long, at array<int>").parquet(f"{path}/entries"),
+        spark.read.schema("dict_id string, entry_seq long, headword string, length int").parquet(f"{path}/documents"),
+        spark.read.schema("dict_id string, n long, average double").parquet(f"{path}/totals"),
+    )
+
+
+def _hits(entries: DataFrame, words: list[str]) -> DataFrame:
+    """(dict_id, entry_seq, hits): starts of the phrase. Each place of a word votes for the start that it implies, and a
+    start with all votes is a match, so no posting is joined with another."""
+    entries = entries.where(F.col("token").isin(list(dict.fromkeys(words))))
     if len(words) == 1:
-        found = sides.select("dict_id", "entry_seq", F.size(F.filter("t", lambda t: t == words[0])).alias("hits")).where("hits > 0")
-        return found.groupBy("dict_id", "entry_seq").agg(F.sum("hits").cast("long").alias("hits"))
-    postings = sides.select("dict_id", "entry_seq", "side", F.posexplode("t").alias("at", "w")).where(F.col("w").isin(list(dict.fromkeys(words))))
-    votes = postings.select("dict_id", "entry_seq", "side", "at", F.explode(F.filter(places, lambda p: p["w"] == F.col("w"))["n"]).alias("n"))
-    starts = votes.groupBy("dict_id", "entry_seq", "side", (F.col("at") - F.col("n")).alias("start")).agg(F.count("*").alias("c")).where(F.col("c") == len(words))
-    return starts.groupBy("dict_id", "entry_seq").agg(F.count("*").alias("hits"))
+        return entries.select("dict_id", "entry_seq", F.size("at").cast("long").alias("hits"))
+    places = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(w).alias("w")) for n, w in enumerate(words)])
+    mine = F.filter(places, lambda p: p["w"] == F.col("token"))
+    starts = F.flatten(F.transform(mine, lambda p: F.transform("at", lambda a: a - p["n"])))
+    votes = entries.select("dict_id", "entry_seq", F.explode(starts).alias("start"))
+    whole = votes.groupBy("dict_id", "entry_seq", "start").agg(F.count("*").alias("c")).where(F.col("c") == len(words))
+    return whole.groupBy("dict_id", "entry_seq").agg(F.count("*").alias("hits"))
 
 
-def search(documents: DataFrame, query: str, limit: int = LIMIT_EACH) -> DataFrame:
+def search(source: DataFrame | Postings, query: str, limit: int = LIMIT_EACH) -> DataFrame:
     """(dict_id, entry_seq, headword, rank_score, place): each dictionary's best matches of a phrase in (headword,
-    definition), best first; lower scores are better, ties go to the earlier entry."""
+    definition), best first; lower scores are better, ties go to the earlier entry. source: the stored index, or
+    documents (dict_id, entry_seq, headword, definition)."""
     words = phrase(query)
     if not words:
-        return documents.limit(0).select("dict_id", "entry_seq", "headword", F.lit(0.0).alias("rank_score"), F.lit(0).alias("place"))
-    length = F.size(tokens(F.col("headword"))) + F.size(tokens(F.col("definition")))
-    sized = documents.select("dict_id", "entry_seq", "headword", length.alias("length"))
-    corpus = sized.groupBy("dict_id").agg(F.count("*").alias("n"), F.avg("length").alias("average"))
-    found = _hits(documents, words).join(sized, ["dict_id", "entry_seq"])
+        empty = source.documents if isinstance(source, Postings) else source
+        return empty.limit(0).select("dict_id", "entry_seq", "headword", F.lit(0.0).alias("rank_score"), F.lit(0).alias("place"))
+    index = source if isinstance(source, Postings) else _as_postings(source, words)
+    found = _hits(index.entries, words).join(index.documents, ["dict_id", "entry_seq"])
     counted = found.groupBy("dict_id").agg(F.count("*").alias("df"))
-    weights = corpus.join(counted, "dict_id").select("dict_id", "average", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    weights = index.totals.join(counted, "dict_id").select("dict_id", "average", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     idf = F.when(F.col("idf") <= 0, F.lit(LEAST_IDF)).otherwise(F.col("idf"))
     norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("length") / F.col("average"))
     score = -idf * F.col("hits") * (K1 + 1) / (F.col("hits") + norm)
@@ -130,12 +178,9 @@ def merged(found: DataFrame, dictionaries: DataFrame) -> DataFrame:
     return found.join(dictionaries.select("dict_id", "dict_seq", "name"), "dict_id").orderBy("dict_seq", "place")
 
 
-def frequencies(documents: DataFrame) -> DataFrame:
+def frequencies(index: Postings) -> DataFrame:
     """(token, documents, occurrences) over both columns."""
-    both = F.concat(tokens(F.col("headword")), tokens(F.col("definition")))
-    each = documents.select(F.explode(both).alias("token"), F.struct("dict_id", "entry_seq").alias("d"))
-    per = each.groupBy("token", "d").agg(F.count("*").alias("n"))
-    return per.groupBy("token").agg(F.count("*").alias("documents"), F.sum("n").alias("occurrences"))
+    return index.entries.groupBy("token").agg(F.count("*").alias("documents"), F.sum(F.size("at")).cast("long").alias("occurrences"))
 
 
 def snippet(text: str | None, words: list[str], size: int = SNIPPET) -> str:

@@ -22,7 +22,7 @@ _PARTS = "parts AS (SELECT p_brand AS dict_id, p_partkey AS entry_seq, p_name AS
 @query(f"WITH {_TOKENS} SELECT dict_id, entry_seq, headword, byte_offset, byte_length FROM entries WHERE n = 'etre'")
 def lookup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q1, E1."""
-    return lookup.exact(corpus.document_entries(spark, sf_dir), "Être").select("dict_id", "entry_seq", "headword", "byte_offset", "byte_length")
+    return lookup.exact(corpus.stored_entries(spark, sf_dir), "Être").select("dict_id", "entry_seq", "headword", "byte_offset", "byte_length")
 
 
 WORDS = ("the", "Éelle", "und", "que", "nothing-such")
@@ -33,7 +33,7 @@ WORDS = ("the", "Éelle", "und", "que", "nothing-such")
   FROM q JOIN entries ON qn = n JOIN dictionaries USING (dict_id)""")
 def lookup_all_dicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch of words over all dictionaries, by priority and discovery."""
-    found = lookup.exact_batch(corpus.document_entries(spark, sf_dir), WORDS)
+    found = lookup.exact_batch(corpus.stored_entries(spark, sf_dir), WORDS)
     return lookup.ranked(found, corpus.document_dictionaries(spark, sf_dir)).select("word", "dict_id", "name", "priority", "rank", "entry_seq", "headword")
 
 
@@ -41,19 +41,19 @@ def lookup_all_dicts(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT dict_id, entry_seq, headword FROM entries WHERE n = 'que' AND dict_id IN (FROM m)""")
 def lookup_one_dict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q3."""
-    return lookup.exact_in(corpus.document_entries(spark, sf_dir), corpus.document_dictionaries(spark, sf_dir), "src1/fr", "que").select("dict_id", "entry_seq", "headword")
+    return lookup.exact_in(corpus.stored_entries(spark, sf_dir), corpus.document_dictionaries(spark, sf_dir), "src1/fr", "que").select("dict_id", "entry_seq", "headword")
 
 
 @query(f"WITH {_TOKENS}, d AS (SELECT DISTINCT headword, n FROM entries WHERE starts_with(n, 'ele') ORDER BY n, headword LIMIT 100) SELECT headword FROM d")
 def prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q4, E2, O4."""
-    return lookup.prefix(corpus.document_entries(spark, sf_dir), "Elé")
+    return lookup.prefix(corpus.stored_entries(spark, sf_dir), "Elé")
 
 
 @query(f"WITH {_TOKENS}, d AS (SELECT headword, min(entry_seq) AS f FROM entries WHERE n LIKE 'en_re%' GROUP BY headword ORDER BY f, headword LIMIT 200) SELECT headword FROM d")
 def wildcard_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q5, Q7."""
-    return lookup.wildcard(corpus.document_entries(spark, sf_dir), "en?re*")
+    return lookup.wildcard(corpus.stored_entries(spark, sf_dir), "en?re*")
 
 
 @query(f"""WITH {_PARTS}, f AS (SELECT dict_id, headword, min(entry_seq) AS first FROM parts WHERE n LIKE '%b_l%' GROUP BY ALL),
@@ -67,14 +67,14 @@ def wildcard_all_dicts(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT DISTINCT headword, n AS headword_normalized, dict_count FROM entries JOIN c USING (n)""")
 def completion_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A2, A3, K6."""
-    return lookup.completion_index(corpus.document_entries(spark, sf_dir))
+    return lookup.completion_index(corpus.stored_entries(spark, sf_dir))
 
 
 @query(f"""WITH {_TOKENS}, c AS (SELECT n, count(DISTINCT dict_id) AS dict_count FROM entries GROUP BY n), d AS (SELECT DISTINCT headword, n, dict_count FROM entries JOIN c USING (n)
   WHERE starts_with(n, 'the') ORDER BY n, headword LIMIT 200) SELECT headword, dict_count, CASE WHEN dict_count > 1 THEN ' (' || dict_count || ' dicts)' ELSE '' END AS note FROM d""")
 def completion_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q8, Q9."""
-    return lookup.complete(lookup.completion_index(corpus.document_entries(spark, sf_dir)), "The")
+    return lookup.complete(corpus.stored_completions(spark, sf_dir), "The")
 
 
 @query(f"""WITH {_PARTS}, d AS (SELECT DISTINCT dict_id, headword, n FROM parts WHERE starts_with(n, 'blu')),
@@ -88,7 +88,7 @@ def completion_without_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scope_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q10 by languages."""
     inside = scope.in_scope(corpus.document_dictionaries(spark, sf_dir), source="es", target="en")
-    return lookup.exact(corpus.document_entries(spark, sf_dir), "de").join(inside, "dict_id", "left_semi").select("dict_id", "entry_seq", "headword")
+    return lookup.exact(corpus.stored_entries(spark, sf_dir), "de").join(inside, "dict_id", "left_semi").select("dict_id", "entry_seq", "headword")
 
 
 GROUPS = {"romance": ("src0/fr", "src1/es", "src2/fr", "missing")}
@@ -98,7 +98,7 @@ GROUPS = {"romance": ("src0/fr", "src1/es", "src2/fr", "missing")}
 def scope_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q10 by a group, J5."""
     inside = scope.in_scope(corpus.document_dictionaries(spark, sf_dir), GROUPS, group="romance")
-    return lookup.exact(corpus.document_entries(spark, sf_dir), "la").join(inside, "dict_id", "left_semi").select("dict_id", "entry_seq", "headword")
+    return lookup.exact(corpus.stored_entries(spark, sf_dir), "la").join(inside, "dict_id", "left_semi").select("dict_id", "entry_seq", "headword")
 
 
 @query("SELECT DISTINCT lang AS source_lang FROM documents WHERE lang <> '' ORDER BY 1")
@@ -116,13 +116,13 @@ def target_langs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_TOKENS} SELECT dict_id, count(*) AS entries FROM entries GROUP BY dict_id")
 def entry_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1."""
-    return index.entry_counts(corpus.tokens(spark, sf_dir))
+    return index.entry_counts(corpus.stored_entries(spark, sf_dir))
 
 
 @query(f"WITH {_TOKENS}, q(word, qn) AS (VALUES ('the', 'the'), ('que', 'que'), ('und', 'und')) SELECT word, count(DISTINCT dict_id) AS dict_count FROM q JOIN entries ON qn = n GROUP BY word")
 def lookup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A5."""
-    return history.logged(lookup.exact_batch(corpus.document_entries(spark, sf_dir), ("the", "que", "und")))
+    return history.logged(lookup.exact_batch(corpus.stored_entries(spark, sf_dir), ("the", "que", "und")))
 
 
 @query("SELECT user_id::VARCHAR AS dict_id, event_type AS key, max_by(event_id, event_id)::VARCHAR AS value FROM events GROUP BY ALL")
@@ -162,7 +162,7 @@ def dict_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q14, E25."""
     d = corpus.document_dictionaries(spark, sf_dir)
     stale = d.select("dict_id", (F.col("priority") % 3 == 0).alias("stale"))
-    return index.listing(d, index.entry_counts(corpus.tokens(spark, sf_dir)), stale)
+    return index.listing(d, index.entry_counts(corpus.stored_entries(spark, sf_dir)), stale)
 
 
 _FTS = r"""d AS (SELECT source AS dict_id, doc_id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') AS t FROM documents),
@@ -178,21 +178,21 @@ _RANK = """, c AS (SELECT dict_id, count(*) AS df FROM h GROUP BY dict_id),
 @query(f"WITH {_FTS}, h AS (SELECT dict_id, doc_id, count(*) AS f FROM p WHERE w = 'tion' GROUP BY ALL){_RANK}")
 def fts_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One word."""
-    return fulltext.search(corpus.fulltext(spark, sf_dir), "Tion").select("dict_id", "entry_seq", "headword", F.round("rank_score", 9).alias("rank_score"))
+    return fulltext.search(corpus.stored_fulltext(spark, sf_dir), "Tion").select("dict_id", "entry_seq", "headword", F.round("rank_score", 9).alias("rank_score"))
 
 
 @query(f"WITH {_FTS}, h AS (SELECT x.dict_id, x.doc_id, count(*) AS f FROM p x JOIN p y ON x.doc_id = y.doc_id AND y.at = x.at + 1 WHERE x.w = 'of' AND y.w = 'the' GROUP BY ALL){_RANK}")
 def fts_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F1, F2, F3 with a phrase; punctuation and case of the query don't count."""
-    return fulltext.search(corpus.fulltext(spark, sf_dir), "of-THE").select("dict_id", "entry_seq", "headword", F.round("rank_score", 9).alias("rank_score"))
+    return fulltext.search(corpus.stored_fulltext(spark, sf_dir), "of-THE").select("dict_id", "entry_seq", "headword", F.round("rank_score", 9).alias("rank_score"))
 
 
 @query()
 def fts_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches of all dictionaries in order of discovery, with snippets."""
-    docs = corpus.fulltext(spark, sf_dir)
-    dictionaries = scope.discovered(docs.select("dict_id").distinct().withColumn("name", F.col("dict_id")))
-    found = fulltext.snippets(fulltext.search(docs, "with the"), docs, "with the")
+    docs, stored = corpus.fulltext(spark, sf_dir), corpus.stored_fulltext(spark, sf_dir)
+    dictionaries = scope.discovered(stored.totals.select("dict_id").withColumn("name", F.col("dict_id")))
+    found = fulltext.snippets(fulltext.search(stored, "with the"), docs, "with the")
     return fulltext.merged(found, dictionaries).select("dict_seq", "place", "dict_id", "entry_seq", "headword", "snippet", fulltext.highlights(F.col("snippet")).alias("marked"))
 
 
@@ -200,7 +200,7 @@ def fts_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT token, count(DISTINCT doc_id) AS documents, count(*) AS occurrences FROM e GROUP BY token""")
 def fts_docfreq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A7."""
-    return fulltext.frequencies(corpus.fulltext(spark, sf_dir)).select("token", "documents", F.col("occurrences").cast("decimal(38,0)").alias("occurrences").cast("long").alias("occurrences"))
+    return fulltext.frequencies(corpus.stored_fulltext(spark, sf_dir))
 
 
 @query(r"""WITH r AS (SELECT page_id, regexp_replace(html, '<[^>]+>', '', 'g') AS t FROM pages),

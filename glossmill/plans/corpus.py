@@ -9,8 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.functions.text import group_label, normalize
+from glossmill.functions.text import group_label
+from glossmill.operators import index
+from glossmill.operators.fulltext import Postings, postings, store_postings
+from glossmill.operators.lookup import completions, rebuild_completions
 from glossmill.operators.scope import discovered
+from glossmill.shared import built
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,8 +37,24 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("dict_id", (F.col("doc_id") * 1_000_000 + F.col("at")).alias("entry_seq"), "headword", F.col("doc_id").alias("byte_offset"), F.length("headword").cast("long").alias("byte_length"))
 
 
-def document_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens(spark, sf_dir).withColumn("headword_normalized", normalize("headword"))
+_ENTRIES = "entry_seq long, headword string, headword_normalized string, byte_offset long, byte_length long, entry_key string, dict_id string"
+
+
+def stored_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries from their index, which is made when it is asked for the first time (or when the table has changed)
+    and then only read."""
+    path = built(spark, "entries", f"{sf_dir}/documents.parquet", lambda path: index.store(index.indexed(tokens(spark, sf_dir)), path))
+    return spark.read.schema(_ENTRIES).parquet(path)
+
+
+def stored_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = built(spark, "completions", f"{sf_dir}/documents.parquet", lambda path: rebuild_completions(stored_entries(spark, sf_dir), path))
+    return completions(spark, path)
+
+
+def stored_fulltext(spark: SparkSession, sf_dir: str) -> Postings:
+    path = built(spark, "postings", f"{sf_dir}/documents.parquet", lambda path: store_postings(fulltext(spark, sf_dir), path))
+    return postings(spark, path)
 
 
 def part_entries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 
@@ -29,6 +31,22 @@ def _place(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def built(spark: SparkSession, name: str, table: str, build: Callable[[str], None]) -> str:
+    """The folder of something derived from a table's files: made by ``build`` where these files, by their names, sizes
+    and times, haven't been met before, and used again by whoever asks next. It is made aside and then moved, so
+    nobody sees half of it."""
+    store, p = _place(spark, table)
+    found = store.listStatus(p)
+    state = sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found)
+    folder = f"{shared_dir(spark)}/{name}-{hashlib.md5(f'{p.toUri().getPath()} {state}'.encode()).hexdigest()}"
+    if not exists(spark, folder):
+        aside = fresh(spark, name)
+        build(aside)
+        if not rename(spark, aside, folder):
+            delete(spark, aside)  # another one was faster
+    return folder
+
+
 def put(spark: SparkSession, path: str, content: bytes) -> None:
     """Writes a small file to any store that Spark reaches."""
     store, p = _place(spark, path)
@@ -50,4 +68,6 @@ def delete(spark: SparkSession, path: str) -> None:
 def rename(spark: SparkSession, old: str, new: str) -> bool:
     """Moves a folder; false if another one has its place already."""
     store, p = _place(spark, old)
+    if exists(spark, new):
+        return False
     return store.rename(p, spark._jvm.org.apache.hadoop.fs.Path(new))

@@ -41,10 +41,20 @@ def test_limits_are_top_n(stored):
 
 def test_search_joins_no_postings_with_each_other(spark):
     docs = spark.createDataFrame([("d", 1, "h", "red skin")], "dict_id string, entry_seq long, headword string, definition string")
-    p = plan(fulltext._hits(docs, ["red", "skin"]))
+    p = plan(fulltext._hits(fulltext._as_postings(docs, ["red", "skin"]).entries, ["red", "skin"]))
     assert "Join" not in p and "Python" not in p
 
 
+def test_a_search_reads_its_own_postings(spark, tmp_path):
+    docs = spark.createDataFrame([("d", 1, "red", "skin red skin"), ("d", 2, "h", "blue skin")], "dict_id string, entry_seq long, headword string, definition string")
+    fulltext.store_postings(docs, str(tmp_path / "index"))
+    stored = fulltext.postings(spark, str(tmp_path / "index"))
+    assert "In(token, [red,skin])" in plan(fulltext._hits(stored.entries, ["red", "skin"])) and "definition" not in plan(fulltext.search(stored, "red skin"))
+    for query in ("red skin", "skin", "red red", "skin red skin", "absent"):
+        assert sorted(map(tuple, fulltext.search(stored, query).collect())) == sorted(map(tuple, fulltext.search(docs, query).collect()))
+    assert [r["entry_seq"] for r in fulltext.search(stored, "red skin red").collect()] == []
+
+
 def test_range_join_is_an_equi_join(spark):
     blocks = spans.block_starts(spark.createDataFrame([("d", 0, 5, 70_000), ("d", 1, 5, 10)], "dict_id string, block int, packed int, size int"))
     records = spark.createDataFrame([("d", 69_999), ("d", 70_000), ("d", 70_010)], "dict_id string, byte_offset long")
