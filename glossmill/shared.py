@@ -60,6 +60,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return store.exists(p)
 
 
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it isn't there."""
+    store, p = _place(spark, path)
+    return sorted(f.getPath().getName() for f in store.listStatus(p)) if store.exists(p) else []
+
+
 def delete(spark: SparkSession, path: str) -> None:
     store, p = _place(spark, path)
     store.delete(p, True)
