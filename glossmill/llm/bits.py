@@ -1,6 +1,7 @@
-"""A membership filter over 64-bit keys of fixed size: built in tasks, merged by slices, sent to tasks.
+"""A membership filter over 64-bit keys, sized by their number: built in tasks, merged by slices, sent to tasks.
 
-It only saves work. Keys that are in the set always pass; how many others pass depends on the load.
+It only saves work. Keys that are in the set always pass, and of others about one in twenty. A filter for more than
+MOST_KEYS keys would be too large to send (128 MB), so such keys are joined instead; see ``fits``.
 """
 
 from __future__ import annotations
@@ -16,6 +17,16 @@ from pyspark.sql import DataFrame
 from glossmill.llm.wordhash import mix
 
 SLICE = 1 << 16
+MOST_KEYS = 1 << 27
+BITS_PER_KEY = 8
+
+
+def fits(keys: int) -> bool:
+    return keys <= MOST_KEYS
+
+
+def log2_for(keys: int) -> int:
+    return max(20, (keys * BITS_PER_KEY - 1).bit_length())
 
 
 def _places(keys: np.ndarray, log2_bits: int) -> list[np.ndarray]:
@@ -23,15 +34,26 @@ def _places(keys: np.ndarray, log2_bits: int) -> list[np.ndarray]:
     return [(mix(keys) >> shift).astype(np.int64), (again >> shift).astype(np.int64)]
 
 
-def contains(bits: np.ndarray, keys: np.ndarray, log2_bits: int) -> np.ndarray:
+def contains(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     found = np.ones(len(keys), bool)
-    for at in _places(keys, log2_bits):
+    for at in _places(keys, (8 * len(bits) - 1).bit_length()):
         found &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
     return found
 
 
-def build(keys: DataFrame, log2_bits: int = 25) -> Broadcast:
-    """From a DataFrame of one long column; 2**log2_bits bits, whatever the number of rows."""
+def held(found: Broadcast | None, keys: np.ndarray) -> np.ndarray:
+    """``contains``; without a filter, because of too many keys, all may be in the set."""
+    return np.ones(len(keys), bool) if found is None else contains(found.value, keys)
+
+
+def within(keys: DataFrame, count: int) -> Broadcast | None:
+    """``build``, or no filter for too many keys."""
+    return build(keys, count) if fits(count) else None
+
+
+def build(keys: DataFrame, count: int) -> Broadcast:
+    """From a DataFrame of one long column and its number of rows."""
+    log2_bits = log2_for(count)
     n = 1 << (log2_bits - 3)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

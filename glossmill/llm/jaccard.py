@@ -2,16 +2,19 @@
 
 Documents with equal sets form a class, named by a 64-bit hash of the set; work goes on with classes. The order of
 n-grams is rare first, by counts of hash buckets over all documents (ties by hash): any order that is the same
-everywhere keeps the prefix filter exact, so the table of counts can be of fixed size. Two sets that link share an
-n-gram of their prefixes. Candidates pass the length and the positional filter when they are joined, a filter of
+everywhere keeps the prefix filter exact, so buckets, whose number grows with the input up to a bound, may stand for
+n-grams. Two sets that link share an n-gram of their prefixes. Candidates pass the length and the positional filter when they are joined, a filter of
 both sides of the n-gram that they met on when the sets are at hand, and then one exact count per pair.
 
 Buckets of few documents have all their pairs compared. Large ones need not: in each, a leader of each band of
 lengths is paired with the others; bands are taken twice, shifted by half. The leader is the class whose n-grams
 are the most frequent on average, that is, of a group of edited copies the text that they were made from. The links
 so found join most classes. What is left are pairs of classes of one large bucket in different components: all of
-these are then compared, by joining the classes outside each bucket's largest component with the whole bucket. So
-no link is lost that could join two components, and a group of n near copies costs about n comparisons.
+these are then compared, by joining the classes outside each bucket's largest component with the whole bucket. Before that
+join a class leaves a bucket if it can't link there: if behind the n-gram's place in its order it has fewer n-grams
+than even the smallest class of the bucket that its length allows would need. What is left of a bucket is dealt over
+several tasks. So no link is lost that could join two components, and a group of n near copies costs about n
+comparisons, as do pages that share a template but not enough of it.
 
 Cases: words are bytes other than 0x20 and 0x09-0x0D with A-Z lower-cased; null and wordless texts have an empty
 set, link with nothing and are their own component; texts of fewer than n words have their whole sequence as one
@@ -36,6 +39,10 @@ from glossmill.llm.workspace import Workspace
 SLICE = 1 << 13
 #: Buckets of more documents than this are large.
 LARGE = 16
+#: Classes of a bucket that one task compares with the bucket.
+SHARE = 256
+#: Counted buckets: 2**20 up to so many bytes of text, then in proportion, up to 2**24 (64 MB).
+COUNTED_BYTES, MOST_LOG2_COUNTS = 1 << 32, 24
 
 
 def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -71,8 +78,8 @@ def _bound(x: np.ndarray, y: np.ndarray) -> int:
 class JaccardJoin:
     """n words make an n-gram; sets link when 100 * intersection >= percent * union."""
 
-    def __init__(self, n: int = 5, percent: int = 80, log2_counts: int = 20, log2_bits: int = 25):
-        self.n, self.percent, self.log2_counts, self.log2_bits = n, percent, log2_counts, log2_bits
+    def __init__(self, n: int = 5, percent: int = 80, log2_counts: int | None = None):
+        self.n, self.percent, self.log2_counts = n, percent, log2_counts
 
     def _ordered(self, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Rare first; the sort is stable, and grams come sorted."""
@@ -129,9 +136,10 @@ class JaccardJoin:
         """(gram, class) for every prefix n-gram."""
         return self._entries(documents, counts).select("gram", "class")
 
-    def _entries(self, documents: DataFrame, counts, known=None, large=None) -> DataFrame:
+    def _entries(self, documents: DataFrame, counts, known=None, large=None, whole: bool = False) -> DataFrame:
         """(gram, class, size, pos, central, large) for every prefix n-gram, or for those that ``known`` holds: its
-        place in the order, the average rank of the set's counts, and whether ``large`` holds it."""
+        place in the order, the average rank of the set's counts (with ``known`` or ``whole``), and whether ``large``
+        holds it."""
         n, names = self.n, ["gram", "class", "size", "pos", "central", "large"]
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,10 +150,10 @@ class JaccardJoin:
                     prefix = self._ordered(unordered, counts.value)[: self._prefix(size)]
                     pos = np.arange(len(prefix), dtype=np.int32)
                     if known is not None:
-                        some = bits.contains(known.value, prefix, self.log2_bits)
+                        some = bits.contains(known.value, prefix)
                         prefix, pos = prefix[some], pos[some]
                     if len(prefix):
-                        central = counts.value[(unordered >> np.uint64(64 - self.log2_counts)).astype(np.int64)].mean() if known is not None else 0
+                        central = counts.value[(unordered >> np.uint64(64 - self.log2_counts)).astype(np.int64)].mean() if known is not None or whole else 0
                         waiting.append((prefix.view(np.int64), np.full(len(prefix), _class(unordered)[0]), np.full(len(prefix), size, np.int32), pos, np.full(len(prefix), int(central), np.int32)))
                         held += len(prefix)
                     if held > 1 << 18:
@@ -156,21 +164,25 @@ class JaccardJoin:
 
         def flush(waiting: list[tuple]) -> pa.RecordBatch:
             columns = [np.concatenate(x) for x in zip(*waiting, strict=True)]
-            over = np.zeros(len(columns[0]), bool) if large is None else bits.contains(large.value, columns[0].view(np.uint64), self.log2_bits)
+            over = np.zeros(len(columns[0]), bool) if large is None else bits.contains(large.value, columns[0].view(np.uint64))
             return pa.RecordBatch.from_arrays([pa.array(x) for x in (*columns, over)], names)
 
         return documents.mapInArrow(read, "gram long, class long, size int, pos int, central int, large boolean")
 
-    def _arrays(self, documents: DataFrame, counts, reps: DataFrame, pairs: DataFrame) -> DataFrame:
+    def _arrays(self, documents: DataFrame, counts, reps: DataFrame, pairs: DataFrame, work: Workspace) -> DataFrame:
         """(class, grams): the ordered sets of the classes in pairs, each read from its representative (rep, class).
-        A filter of fixed size picks the texts, so a few more sets may come along."""
+        A filter picks the texts, so a few more sets may come along; very many are joined."""
         n = self.n
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(reps, "class").select("rep")
-        wanted = bits.build(asked, self.log2_bits)
+        asked = work.cut(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(reps, "class").select("rep"), "asked", release=True)
+        number = asked.count()
+        wanted = bits.build(asked, number) if bits.fits(number) else None
+        if wanted is None:
+            documents = documents.join(asked.withColumnRenamed("rep", "doc_id").distinct(), "doc_id", "left_semi")
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                some = np.flatnonzero(bits.contains(wanted.value, batch.column(0).to_numpy().view(np.uint64), self.log2_bits))
+                keys = batch.column(0).to_numpy().view(np.uint64)
+                some = np.arange(len(keys)) if wanted is None else np.flatnonzero(bits.contains(wanted.value, keys))
                 if not len(some):
                     continue
                 classes, arrays, held = [], [], 0
@@ -228,6 +240,9 @@ class JaccardJoin:
         docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         named = docs.where("doc_id is not null")
         work = Workspace(documents.sparkSession, "jaccard")
+        if self.log2_counts is None:
+            size = docs.agg(F.sum(F.octet_length("text")).alias("size")).first()["size"] or 0
+            self.log2_counts = min(MOST_LOG2_COUNTS, 20 + (-(-size // COUNTED_BYTES) - 1).bit_length() if size else 20)
         scanned = self.scan(docs, work)
         rows = scanned.where("k is null").select("doc_id", "size", F.when(F.col("doc_id").isNotNull(), F.col("class")).alias("class"))
         labels = self._labels(named, scanned, work)
@@ -235,13 +250,41 @@ class JaccardJoin:
         least = placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
         return placed.join(least, "component", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
+    def _able(self, mixed: DataFrame) -> DataFrame:
+        """Without the entries that can be in no link of their bucket: a partner's size is at least that of the least
+        class of the bucket in the same band of lengths or the one below, and at least what the lengths allow."""
+        p = self.percent
+        band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100.0 / p))).cast("int")
+        mixed = mixed.withColumn("band", band)
+        least = mixed.groupBy("gram", "band").agg(F.min("size").alias("least"))
+        # Rounding may put a size at a band's edge into the next one, so the two below count.
+        near = least.select("gram", F.explode(F.array(F.col("band"), F.col("band") + 1, F.col("band") + 2)).alias("band"), "least").groupBy("gram", "band").agg(F.min("least").alias("least"))
+        partner = F.greatest(F.col("least"), F.ceil(F.lit(p) * F.col("size") / 100))
+        need = F.ceil(F.lit(p) * (F.col("size") + partner) / F.lit(100 + p))
+        return mixed.join(near, ["gram", "band"]).where(F.col("size") - F.col("pos") >= need).drop("band", "least")
+
+    def _met(self, mixed: DataFrame) -> DataFrame:
+        """Entries outside their bucket's largest component with all of the bucket, the second's columns ending in _y.
+        A bucket's entries are dealt over as many tasks as it has shares of them, each of which gets the bucket."""
+        minor = mixed.where("component <> top").drop("top")
+        shares = minor.groupBy("gram").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
+        minor = minor.join(shares, "gram").withColumn("share", F.pmod(F.xxhash64("class"), F.col("shares").cast("long")).cast("int")).drop("shares")
+        whole = mixed.drop("top").withColumnsRenamed({c: f"{c}_y" for c in ("class", "size", "pos", "component")})
+        whole = whole.join(shares, "gram").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+        return minor.join(whole, ["gram", "share"])
+
     def _labels(self, docs: DataFrame, scanned: DataFrame, work: Workspace) -> DataFrame:
         counts = self._counts(scanned)
         ends = self._grams(docs, counts).groupBy("gram").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n"))
         shared = work.cut(ends.where("low <> high").select("gram", (F.col("n") > LARGE).alias("large")), "shared", release=True)
-        # The second filter decides by n-gram alone which buckets count as large, so all tasks decide alike.
-        known, over = bits.build(shared.select("gram"), self.log2_bits), bits.build(shared.where("large").select("gram"), self.log2_bits)
-        entries = work.cut(self._entries(docs, counts, known, over).distinct(), "entries", release=True)
+        number = shared.count()
+        if bits.fits(number):
+            # The second filter decides by n-gram alone which buckets count as large, so all tasks decide alike.
+            known, over = bits.build(shared.select("gram"), number), bits.build(shared.where("large").select("gram"), shared.where("large").count())
+            entries = self._entries(docs, counts, known, over)
+        else:
+            entries = self._entries(docs, counts, whole=True).drop("large").join(shared, "gram")
+        entries = work.cut(entries.distinct(), "entries", release=True)
         work.drop(shared)
         reps = scanned.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"))
 
@@ -256,7 +299,7 @@ class JaccardJoin:
         led = self._candidates(banded.join(leader, ["gram", "band"]))
         pairs = pairs.unionAll(led).groupBy("a", "b").agg(F.min("i").alias("i"), F.min("j").alias("j"))
         pairs = work.cut(pairs, "pairs", release=True)
-        links = work.cut(self._links(pairs, self._arrays(docs, counts, reps, pairs)), "links", release=True, batch_rows=256)
+        links = work.cut(self._links(pairs, self._arrays(docs, counts, reps, pairs, work)), "links", release=True, batch_rows=256)
         labels = work.cut(components(links.select("a", "b"), work), "labels", release=True)
 
         # All pairs of one large bucket that are in different components still.
@@ -264,12 +307,10 @@ class JaccardJoin:
         e = work.cut(e, "placed", release=True)
         per = e.groupBy("gram", "component").agg(F.count("*").alias("n"))
         top = per.groupBy("gram").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("k")).where("k > 1").select("gram", F.col("top.component").alias("top"))
-        mixed = e.join(top, "gram")
-        minor = mixed.where("component <> top").drop("top")
-        whole = mixed.drop("top").withColumnsRenamed({c: f"{c}_y" for c in ("class", "size", "pos", "component")})
-        rest = self._candidates(minor.join(whole, "gram").where("component <> component_y"))
+        mixed = work.cut(self._able(e.join(top, "gram")), "mixed", release=True)
+        rest = self._candidates(self._met(mixed).where("component <> component_y"))
         rest = work.cut(rest.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "rest", release=True)
-        more = work.cut(self._links(rest, self._arrays(docs, counts, reps, rest)), "more", release=True, batch_rows=256)
+        more = work.cut(self._links(rest, self._arrays(docs, counts, reps, rest, work)), "more", release=True, batch_rows=256)
         if more.isEmpty():
             return labels
         stars = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))

@@ -10,6 +10,14 @@ BATCH_ROWS = 2048
 _KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+def unused(columns: list[str], name: str) -> str:
+    """The name, with as many marks as no column has."""
+    held = {c.lower() for c in columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def for_texts(spark: SparkSession) -> SparkSession:
     """The session with Arrow batches of at most BATCH_ROWS rows. Results that a query returns are computed after it
     has returned, so this can't be undone there."""

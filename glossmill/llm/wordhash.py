@@ -96,6 +96,21 @@ def words(raw: np.ndarray, offsets: np.ndarray, lower: bool, white: np.ndarray =
     return np.concatenate(hashes), np.searchsorted(np.concatenate(firsts), offsets, "left")
 
 
+def counted(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The number of each text's words."""
+    out = np.zeros(len(offsets) - 1, np.int64)
+    for a, b in groups(offsets):
+        part, places = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        begins = ~WHITE[part]
+        begins[1:] &= WHITE[part[:-1]]
+        if len(part):
+            first = places[:-1][places[:-1] < len(part)]
+            begins[first] = ~WHITE[part[first]]
+        sums = np.concatenate(([0], np.cumsum(begins)))
+        out[a:b] = sums[places[1:]] - sums[places[:-1]]
+    return out
+
+
 def ngrams(hashes: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
     """Hash of the n words that start at each word; the last n - 1 positions are left out."""
     m = max(0, len(hashes) - n + 1)

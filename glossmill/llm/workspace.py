@@ -3,19 +3,15 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from glossmill.shared import delete, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a folder of this machine only where none is named (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.gettempdir()}/glossmill-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 class Workspace:
@@ -35,13 +31,8 @@ class Workspace:
         """batch_rows: of the Arrow batches meanwhile; texts are large rows, so there are fewer of them than usual."""
         out = self.path(label)
         schema = df.schema
-        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-        usual = self.spark.conf.get(key)
-        self.spark.conf.set(key, str(min(batch_rows, int(usual))))
-        try:
+        with self.small_batches(batch_rows):
             df.write.parquet(out)
-        finally:
-            self.spark.conf.set(key, usual)
         del df
         if release:
             self.release()
@@ -49,12 +40,19 @@ class Workspace:
         back._glossmill_path = out
         return back
 
+    @contextmanager
+    def small_batches(self, rows: int = 2048) -> Iterator[None]:
+        usual = self.spark.conf.get(_KEY)
+        self.spark.conf.set(_KEY, str(min(rows, int(usual))))
+        try:
+            yield
+        finally:
+            self.spark.conf.set(_KEY, usual)
+
     def drop(self, df: DataFrame) -> None:
         path = getattr(df, "_glossmill_path", None)
         if path:
-            jvm = self.spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            delete(self.spark, path)
 
     def release(self) -> None:
         """Lets the driver forget finished DataFrames, so that Spark's cleaner deletes their shuffle files."""

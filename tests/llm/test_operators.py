@@ -20,7 +20,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from glossmill.llm import decontaminate, html_text, langid, licenses, packing, quality, queries, substrings, tokens, topk, urls, wordhash
+from glossmill.llm import bits, decontaminate, html_text, langid, licenses, packing, quality, queries, substrings, tokens, topk, urls, wordhash
 from glossmill.llm.components import components
 from glossmill.llm.jaccard import JaccardJoin
 from glossmill.llm.workspace import Workspace
@@ -196,7 +196,7 @@ def test_jaccard_large_groups(spark):
                 w[r.randrange(len(w))] = f"edit{k}-{c}-{r.randrange(99)}"
             pairs.append((1000 * k + c, " ".join(w[: r.choice((90, 90, 80))])))
     assert joined(JaccardJoin().groups(plain(spark, pairs))) == grouped(pairs)
-    assert joined(JaccardJoin(log2_bits=17, log2_counts=13).groups(plain(spark, pairs))) == grouped(pairs)
+    assert joined(JaccardJoin(log2_counts=13).groups(plain(spark, pairs))) == grouped(pairs)
 
 
 def test_jaccard_shared_passage(spark):
@@ -207,6 +207,31 @@ def test_jaccard_shared_passage(spark):
     assert joined(JaccardJoin().groups(plain(spark, pairs))) == grouped(pairs)
 
 
+@pytest.mark.parametrize("most", [bits.MOST_KEYS, 0])
+def test_jaccard_templates(spark, monkeypatch, most):
+    """Pages of one template of several lengths: some link, most don't quite; whole buckets stay apart. The same
+    without filters, by joins."""
+    monkeypatch.setattr(bits, "MOST_KEYS", most)
+    r, template = random.Random(3), [f"t{n}" for n in range(100)]
+    pairs = []
+    for i in range(150):
+        own = [f"o{i}-{n}" for n in range(r.choice((6, 9, 12, 15, 15, 15)))]
+        cut = template[: r.choice((100, 100, 100, 90, 80))]
+        pairs.append((i, " ".join([*own, *cut] if i % 2 else [*cut, *own])))
+    assert joined(JaccardJoin(log2_counts=13).groups(plain(spark, pairs))) == grouped(pairs)
+
+
+def test_jaccard_templates_make_no_pairs(spark):
+    """Pages that share a template but not enough of it leave their buckets before these are joined."""
+    template = [f"t{n}" for n in range(100)]
+    pairs = plain(spark, [(i, " ".join([*(f"o{i}-{n}" for n in range(15)), *template])) for i in range(400)])
+    join, made = JaccardJoin(), []
+    able = join._able
+    join._able = lambda mixed: made.append((mixed.count(), able(mixed).count())) or able(mixed)
+    assert join.groups(pairs).where("component_id = doc_id").count() == 400
+    assert made[0][0] > 400 and made[0][1] == 0
+
+
 def passages():
     own = lambda name, n: [f"{name}-{k}" for k in range(n)]
     passage, body, filler, tails = own("p", 17), own("r", 169), own("s", 186), (own("t", 18), own("u", 18))
@@ -435,7 +460,11 @@ def kept(frame):
 def test_substring_edges(spark):
     assert kept(substrings.dedup(edge_documents(spark))) == deduplicated(EDGES)
     assert substrings.dedup(edge_documents(spark, empty=True)).count() == 0
-    assert set(substrings.dedup(edge_documents(spark)).columns) == {"doc_id", "text", "lang", "at", "class", "n_words", "score", "rejected", "fp", "size", "__row", "n_removed"} | {"doc"} - {"doc"}
+    held = [c.split()[0].strip("`") for c in CLASHING.split(", ")]
+    got = substrings.dedup(edge_documents(spark), counts=("own_words", "own_removed"))
+    assert got.columns == [*held, "own_words", "own_removed"] and all(r[c] == "c" for r in got.collect() for c in held[3:])
+    clash = plain(spark, [(1, BASE, 1, 2, 3, 4), (2, BASE, 1, 2, 3, 4)], "doc_id long, text string, __key long, __at long, __doc long, __of long")
+    assert sorted((r["doc_id"], r["n_removed"], r["__at"]) for r in substrings.dedup(clash).collect()) == [(1, 0, 2), (2, 60, 2)]
 
 
 @pytest.mark.parametrize("batches", [1, 2, 7])
@@ -454,6 +483,46 @@ def test_substring_batches(spark, batches):
     assert kept(substrings.dedup(plain(spark, pairs), batches=batches)) == deduplicated(pairs)
 
 
+@pytest.mark.parametrize("limits", [{"HEAVY": 3}, {"HEAVY": 2, "MOST_HEAVY": 1}, {"MOST_KEYS": 0}])
+def test_substring_limits(spark, monkeypatch, limits):
+    """Windows that are settled in the tasks, and keys that are too many for a filter, give the same rows."""
+    for name, value in limits.items():
+        monkeypatch.setattr(bits if name == "MOST_KEYS" else substrings, name, value)
+    r = random.Random(5)
+    pairs = [(i, " ".join([f"u{i}-{n}" for n in range(r.randrange(6))] + [f"p{n}" for n in range(r.randrange(40))] + [f"q{i % 7}-{n}" for n in range(20)])) for i in range(60)]
+    pairs += [(5, pairs[5][1]), (7, BASE), (8, BASE)]
+    assert kept(substrings.dedup(plain(spark, pairs))) == deduplicated(pairs)
+
+
+def test_substring_index_is_kept(spark, tmp_path):
+    """An index that other sessions add to: batch by batch, opened each time, merged on the way, the windows found are
+    those of one index over all; its folder holds the runs of the manifest only."""
+    words = lambda *parts: " ".join(f"{p}{n}" for p in parts for n in range(15))
+    rows = [(i, words(f"own{i}-", f"pair{i // 2}-", "all-" if i % 3 else f"none{i}-", f"far{i % 5}-")) for i in range(24)]
+    path, got = f"file://{tmp_path}/index", []
+    for n in range(6):
+        other = spark.newSession()
+        other.sql("DROP TABLE IF EXISTS nothing")
+        index = substrings.FingerprintIndex(other, path, fanout=2)
+        assert index.version > n - 1 and len(index.runs["fingerprints"]) <= 3
+        batch, history = rows[4 * n : 4 * n + 4], rows[: 4 * n]
+        found = index.add(plain(other, batch), plain(other, history) if history else None)
+        got += kept(substrings.without(plain(other, batch), found))
+    assert sorted(got) == deduplicated(rows)
+    index._compact()
+    held = {x.name for x in (tmp_path / "index").iterdir() if x.suffix != ".crc" and not x.name.startswith(".")}
+    assert held == {f"manifest-{index.version:09d}", *(r["name"] for runs in index.runs.values() for r in runs)} and all(len(r) <= 2 for r in index.runs.values())
+    with pytest.raises(ValueError, match="by 7"):
+        substrings.FingerprintIndex(spark, path, gram=5)
+    index.delete()
+    assert not (tmp_path / "index").exists()
+
+
+def test_counted_words():
+    texts = ["a b", "", " x ", "one", None, "\t", "two  words ", "é ü"]
+    assert wordhash.counted(*wordhash.utf8(pa.array(texts, pa.string()))).tolist() == [len((t or "").split()) for t in texts]
+
+
 def test_substring_layout(spark):
     shared = " ".join(f"s{n}" for n in range(13))
     got = substrings.dedup(plain(spark, [(1, shared), (2, f"  first\n{shared}\tlast \n")])).orderBy("doc_id").collect()
