@@ -3,7 +3,7 @@
 Texts become tokens: runs of letters and digits, lower-cased. A mask keeps some positions of a short stretch and
 ignores the others, so a seed (the hash of the kept tokens) survives substitutions at the ignored ones. Seeds of
 documents and benchmark items are joined; each hit is an alignment of the two, which is then verified token by
-token: somewhere in it ``window`` tokens in a row (or the whole item, if it is shorter) must agree but for
+token, on the hashed tokens of documents that have a hit: somewhere in it ``window`` tokens in a row (or the whole item, if it is shorter) must agree but for
 ``substitutions`` of them (in proportion for a shorter item, rounded down).
 
 The two masks are lossless for 2 substitutions in 13 tokens and for 1 in 8 to 12: whichever tokens are replaced,
@@ -72,9 +72,11 @@ def find(documents: DataFrame, benchmark: DataFrame, window: int = 13, substitut
     hits = _placed(documents.select("doc_id", "text"), "doc_id").join(seeds, "seed")
     hits = work.cut(hits.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).cast("long").alias("first_token")).distinct(), "hits", release=True)
 
-    # Hits are few and come from a table of known size, so Spark broadcasts them if they are small enough.
+    # Hits come from a table of known size, so Spark broadcasts them if they are small enough. Documents are hashed once,
+    # and meet their alignments in the last join, behind which nothing is shuffled.
     docs = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
-    met = docs.join(hits, "doc_id").join(items, "item_id")
+    hashed = work.cut(docs.join(hits.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", token_hashes(F.col("text")).alias("x")), "hashed", release=True)
+    met = hashed.join(hits.join(items, "item_id"), "doc_id")
 
     def verified(x: Column) -> Column:
         y, first = F.col("y"), F.col("first_token").cast("int")
@@ -87,7 +89,7 @@ def find(documents: DataFrame, benchmark: DataFrame, window: int = 13, substitut
         need = span - F.floor(span * substitutions / window)
         return F.exists(F.sequence(F.lit(1), F.size(same) - span + 1), lambda s: F.aggregate(F.slice(same, s, span), F.lit(0), lambda a, v: a + v) >= need)
 
-    met = met.select("doc_id", "item_id", "first_token", F.explode(F.array(let(token_hashes(F.col("text")), verified))).alias("v"))
+    met = met.select("doc_id", "item_id", "first_token", F.explode(F.array(verified(F.col("x")))).alias("v"))
     return met.where("v is not null").select("doc_id", "item_id", "first_token", "v.n_aligned", "v.n_matched").distinct()
 
 

@@ -1,6 +1,6 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-A text becomes a sequence of symbols: lower-cased letters, and one separator for each run of anything else. Each
+A text becomes a sequence of symbols: lower-cased letters and marks, and one separator for each run of anything else. Each
 language has a model of ``order`` symbols. For every order the n-grams that any language has are one sorted array
 of 64-bit hashes with the log-probabilities of all languages beside it, and contexts likewise with their weights
 of falling back, so a position costs one binary search, or one for each order that it falls back. The language of
@@ -13,12 +13,13 @@ of doc_id, with their whole texts. Every text is scored whole, in segments of bo
 
 Cases: null texts and texts without letters are "und" with score 0 and rejected. A null lang teaches nothing, nor
 does a null doc_id. Without any labelled text all are "und". Repeated rows are scored each on their own. No rows: no
-rows. Other columns pass through; lang_pred, score and rejected are replaced.
+rows. Other columns pass through; those of the names that are appended are replaced.
 """
 
 from __future__ import annotations
 
 import functools
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -29,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossmill.llm.wordhash import mix, ngrams
+from glossmill.llm.workspace import Workspace
 
 UNKNOWN = "und"
 SEPARATOR = 32
@@ -47,10 +49,16 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
+@functools.lru_cache(maxsize=1)
+def _symbols() -> np.ndarray:
+    """Letters, and the marks that scripts put to them: vowels of Indic ones, accents."""
+    return _letters() | np.fromiter((unicodedata.category(chr(c))[0] == "M" for c in range(0x110000)), bool, 0x110000)
+
+
 def symbols(text: str) -> np.ndarray:
-    """Code points of letters; runs of anything else are one separator."""
+    """Code points of letters and marks; runs of anything else are one separator."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
-    out = np.where(_letters()[points], points, np.uint32(SEPARATOR))
+    out = np.where(_symbols()[points], points, np.uint32(SEPARATOR))
     keep = np.ones(len(out), bool)
     keep[1:] = (out[1:] != SEPARATOR) | (out[:-1] != SEPARATOR)
     return out[keep]
@@ -141,7 +149,7 @@ class Models:
                     owners.append(row)
                     held += len(seq)
                 sizes[row] += len(new)
-                letters[row] += int((new != SEPARATOR).sum())
+                letters[row] += int(_letters()[new].sum())
                 tail = seq[len(seq) - self.order + 1 :]
                 if held > _CHUNK:
                     score()
@@ -206,12 +214,13 @@ def train(labelled: DataFrame, order: int = 4, sample: int = 1000) -> Models | N
     """From (doc_id, text, lang). A fifth of the sample sets the thresholds of rejection, the rest the models. Languages
     of fewer than RARE documents have their models from all of them, and no calibrated threshold."""
     rows = labelled.where("doc_id is not null and text is not null and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
+    # As many rows as there are different labels; written, so Spark knows whether they are few enough to broadcast.
+    bound = F.floor(F.least(F.lit(1.0), F.lit(sample) / F.count("*")) * (1 << 30)).alias("bound")
+    sizes = Workspace(labelled.sparkSession, "languages").cut(rows.groupBy("lang").agg(bound, (F.count("*") >= RARE).alias("common")), "sizes")
+    if sizes.isEmpty():
         return None
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30))
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, sample / n) * (1 << 30)))])
-    taken = rows.select("text", "lang", place.alias("place"), share[F.col("lang")].alias("bound")).where("place < bound")
+    taken = rows.join(sizes, "lang").select("text", "lang", "common", place.alias("place"), "bound").where("place < bound")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = defaultdict(Counter)
@@ -223,8 +232,7 @@ def train(labelled: DataFrame, order: int = 4, sample: int = 1000) -> Models | N
         for lang, grams in seen.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["lang", "gram", "n"])
 
-    common = [lang for lang, n in sizes.items() if n >= RARE]
-    held = (F.pmod(F.xxhash64(F.lit(1), "place"), F.lit(5)) == 0) & F.col("lang").isin(*common)
+    held = (F.pmod(F.xxhash64(F.lit(1), "place"), F.lit(5)) == 0) & F.col("common")
     found = taken.where(~held).select("text", "lang").mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     counts: dict[str, dict[str, int]] = defaultdict(dict)
     for lang, gram, n in zip(*(found.column(c).to_pylist() for c in ("lang", "gram", "n")), strict=True):
@@ -232,6 +240,7 @@ def train(labelled: DataFrame, order: int = 4, sample: int = 1000) -> Models | N
     if not counts:
         return None
     models = fit(counts, order)
+    # A common language whose documents were all held has no model.
     return _calibrated(models, taken.where(held & F.col("lang").isin(*models.languages)).select("text", "lang"))
 
 
@@ -266,10 +275,11 @@ def _calibrated(models: Models, held: DataFrame) -> Models:
     return Models(**{**vars(models), "limits": limits, "spread": spread})
 
 
-def identify(documents: DataFrame, models: Models | None) -> DataFrame:
-    """Appends lang_pred, score (0 to 1: the weight of the best language, texts counting as 64 symbols at most) and
-    rejected (no language, or segments whose cross-entropies are above their languages' limits on average)."""
-    others = [c for c in documents.columns if c.lower() not in ("lang_pred", "score", "rejected")]
+def identify(documents: DataFrame, models: Models | None, names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """Appends under ``names`` the language, its score (0 to 1: the weight of the best language, texts counting as 64
+    symbols at most) and whether it is rejected (no language, or segments whose cross-entropies are above their languages'
+    limits on average)."""
+    others = [c for c in documents.columns if c.lower() not in names]
     sent, at = documents.sparkSession.sparkContext.broadcast(models), others.index("text")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,10 +304,11 @@ def identify(documents: DataFrame, models: Models | None) -> DataFrame:
                 langs += [UNKNOWN if n else models.languages[b] for n, b in zip(none, best, strict=True)]
                 scores += np.where(none, 0.0, np.round(top, 6)).tolist()
                 rejected += (over | none).tolist()
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(others))), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], [*others, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(others))), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], [*others, *names])
 
-    schema = documents.select(*others).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "rejected": F.lit(False)}).schema
-    return documents.select(*others).mapInArrow(read, schema)
+    rows = documents.select(*(F.col(f"`{c}`") for c in others))
+    schema = rows.withColumns(dict(zip(names, (F.lit(""), F.lit(0.0), F.lit(False)), strict=True))).schema
+    return rows.mapInArrow(read, schema)
 
 
 def held_out(doc_id: Column) -> Column:

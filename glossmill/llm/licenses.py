@@ -3,7 +3,8 @@
 A passage is a line that holds a licence word; a paragraph of several lines that does; such a paragraph with up to
 five that follow; and of a file named LICENSE, LICENCE, COPYING or NOTICE every paragraph and the whole text. Lines
 are compared with TEMPLATES, paragraphs also with HEADERS and TEXTS, longer passages with TEXTS, which go first: a
-licence of several paragraphs may begin as another does. Inverse document frequencies count all files; tokens that no template has weigh as if no file had them.
+licence of several paragraphs may begin as another does. A line or paragraph with an SPDX identifier is of the licence
+that it names (the first of an expression, without -only, -or-later or +) and isn't compared. Inverse document frequencies count all files; tokens that no template has weigh as if no file had them.
 A file's own licence is its best passage's best template, from ``least`` cosine on (ties: the least template). A
 file is a licence file if it is named so, or if half of its words are licensing passages; its licence is its
 directory's. Files without their own take the licence of their directory or the nearest one above that has one.
@@ -68,6 +69,8 @@ TEXTS = (
     ("BSD-2-Clause", _MET + _AS_IS),
     ("BSD-3-Clause", _MET + _NEITHER + _AS_IS),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
 )
 #: A longer passage has a licence of TEXTS from this cosine on.
 _LEAST_TEXT = 0.8
@@ -78,6 +81,8 @@ _COMPARED = {_LINE: TEMPLATES, _PARAGRAPH: TEMPLATES + HEADERS + TEXTS, _LONG: T
 WORDS = ("licens", "licenc", "spdx", "permission is hereby granted", "redistribution and use")
 _NAMED = r"(?:^|/)(?:LICEN[SC]E|COPYING|NOTICE)(?:\.[^/]*)?$"
 _BLANK = r"\n(?:[^\p{L}\p{N}\n]*\n)+"
+#: An SPDX identifier and what it may end with.
+IDENTIFIER, SUFFIX = r"(?i)SPDX-License-Identifier:[ \t]*\(?([A-Za-z0-9]+(?:[.+-]+[A-Za-z0-9]+)*[+]?)", r"(?i)(-(only|or-later)|[+])$"
 _SPLIT = r"[^\p{L}\p{N}]+"
 
 
@@ -135,7 +140,10 @@ def scan(files: DataFrame, least: float = 0.6) -> DataFrame:
     named = F.coalesce(F.col("path").rlike(_NAMED), F.lit(False))
     held = files.where(_has_word(F.col("text")) | named).select("path", F.size(_tokens(F.col("text"))).alias("words"), named.alias("named"), F.inline(F.when(F.col("text").isNotNull(), _passages(F.col("text"), named))))
     held = work.cut(held.where("passage is not null"), "passages")
-    different = held.select("kind", "passage").distinct().withColumn("key", F.sha2("passage", 256))
+    named_as = F.regexp_replace(F.regexp_extract("passage", IDENTIFIER, 1), SUFFIX, "")
+    distinct = held.select("kind", "passage").distinct().select("kind", "passage", F.sha2("passage", 256).alias("key"), F.when(F.col("kind") != _LONG, named_as).otherwise("").alias("identifier"))
+    exact = distinct.where("identifier <> ''").select("kind", "key", F.lit(1.0).alias("score"), F.col("identifier").alias("license"))
+    different = distinct.where("identifier = ''")
     counts = different.select("kind", "key", F.explode(_tokens(F.col("passage"))).alias("token")).groupBy("kind", "key", "token").agg(F.count("*").alias("tf"))
     weighed = counts.join(idf, ["kind", "token"], "left").select("kind", "key", "token", (F.col("tf") * F.coalesce("idf", weigh(F.lit(0)))).alias("w"))
     weighed = work.cut(weighed, "weighed")
@@ -144,6 +152,7 @@ def scan(files: DataFrame, least: float = 0.6) -> DataFrame:
     cosine = cosine.select("kind", "key", "template", "name", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= F.when(F.col("kind") == _LONG, _LEAST_TEXT).otherwise(least))
     best = cosine.groupBy("kind", "key").agg(F.max(F.struct("score", (-F.col("template")).alias("order"), "name")).alias("b")).select("kind", "key", "b.score", F.col("b.name").alias("license"))
 
+    best = best.unionByName(exact)
     own = held.withColumn("key", F.sha2("passage", 256)).join(best, ["kind", "key"])
     own = own.select("kind", "path", "words", "named", "license", "score", F.size(_tokens(F.col("passage"))).alias("covered"))
     own = own.where("path is not null").groupBy("path").agg(
@@ -161,6 +170,7 @@ def scan(files: DataFrame, least: float = 0.6) -> DataFrame:
     above = F.transform(F.sequence(F.lit(0), F.size(levels)), lambda n: F.when(n == 0, F.lit("")).otherwise(F.array_join(F.slice(levels, F.lit(1), n), "/")))
     asking = paths.select("directory").distinct().select("directory", F.posexplode(above).alias("depth", "at"))
     answers = asking.join(declared, "at").groupBy("directory").agg(F.max(F.struct("depth", "declared")).alias("a")).select("directory", F.col("a.declared").alias("declared"))
+    answers = work.cut(answers, "answers")  # so Spark knows whether they are few enough to broadcast
     out = paths.join(own.drop("declares"), "path", "left").join(answers, "directory", "left")
     how = F.when(F.col("license").isNotNull(), "own").when(F.col("declared").isNotNull(), "inherited")
     return out.select("path", F.coalesce("license", "declared").alias("license"), how.alias("how"), "score")

@@ -7,7 +7,8 @@ site thus stays near its parent and a large one goes by its own documents. A doc
 with its path's posterior mean, the document itself left out, as the prior in place of the global one.
 
 The models are fitted on a bounded sample: about ``sample`` labelled documents, those of the smallest hashes. Sums
-by host and path cover all documents and are pre-aggregated; they are joined back on the narrow scored table.
+by host and path cover all documents and are pre-aggregated; they are joined back on the narrow scored table, those of
+large sites, which are few, by broadcast, so no site's documents meet in one task.
 
 Cases: null text has the mean as its evidence. A null host or path is a site of its own, "". Labels other than 0 and 1,
 null ones, and ones without a document teach nothing; several labels of a document each count. Without labels of a
@@ -33,6 +34,8 @@ _UPPER = np.array([65 <= b <= 90 for b in range(256)])
 _DIGIT = np.array([48 <= b <= 57 for b in range(256)])
 _OTHER = wordhash.MARKS & ~wordhash.WHITE
 SHAPES = 6
+#: Documents of a large site, and the most large sites (some MB), for which the number is raised.
+LARGE, MOST_LARGE = 100_000, 10_000
 
 
 def _shape(raw: np.ndarray, words: np.ndarray) -> list[float]:
@@ -160,6 +163,21 @@ def _strength(groups: DataFrame, mean: Column) -> float:
     return float(min(1e4, max(1.0, r["spread"] / r["n"] / excess - 1 if excess > 0 else 1e4)))
 
 
+def _joined(rows: DataFrame, sites: DataFrame) -> DataFrame:
+    """Rows with the sums of their sites. Sites of LARGE documents and more are at most as many as all documents by LARGE,
+    or MOST_LARGE; rows that have met theirs go on under keys of their own, so they are spread evenly."""
+    total = sites.agg(F.sum("n").alias("n")).first()["n"] or 0
+    large = F.col("n") >= max(LARGE, total // MOST_LARGE)
+    sums = ("n", "s", "host_n", "host_s")
+    few = F.broadcast(sites.where(large).select("host", "path", *(F.col(c).alias(f"__{c}") for c in sums)))
+    met = rows.join(few, ["host", "path"], "left")
+    known = F.col("__n").isNotNull()
+    met = met.withColumn("__host", F.when(known, F.concat(F.lit("\n"), F.monotonically_increasing_id().cast("string"))).otherwise(F.col("host")))
+    rest = sites.where(~large).select(F.col("host").alias("__host"), F.col("path").alias("__path"), *sums)
+    both = met.join(rest, (met["__host"] == rest["__host"]) & (met["path"] == rest["__path"]), "left")
+    return both.select(*(both[c] for c in rows.columns if c not in ("host", "path")), met["host"], met["path"], *(F.coalesce(f"__{c}", c).alias(c) for c in sums))
+
+
 def score(documents: DataFrame, labels: DataFrame, host: str = "host", path: str = "path", sample: int = 10_000) -> DataFrame:
     """(doc_id, host, path, p_quality, p_toxic, keep) for every row of (doc_id, text, host, path)."""
     spark = documents.sparkSession
@@ -195,7 +213,7 @@ def score(documents: DataFrame, labels: DataFrame, host: str = "host", path: str
         sites = paths.join(hosts, "host")
         k_path = _strength(sites.withColumn("mean", (F.col("host_s") + k_host * mean) / (F.col("host_n") + k_host)), F.col("mean"))
         # The document itself is left out of its host's and its path's sums.
-        j = out.join(sites, ["host", "path"])
+        j = _joined(out, sites)
         above = (F.col("host_s") - p + k_host * mean) / (F.col("host_n") - 1 + k_host)
         site = (F.col("s") - p + k_path * above) / (F.col("n") - 1 + k_path)
         posterior = F.col(x) - _logit(F.lit(float(mean))) + _logit(site)

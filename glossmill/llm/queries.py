@@ -127,7 +127,10 @@ ORACLES: dict[str, str] = {
         w AS (SELECT passage, token, tf * coalesce(idf, ln(1.0 + n.n) + 1) AS w FROM c LEFT JOIN idf USING (token), n),
         s AS (SELECT passage, template, round(dot / norm, 6) AS score FROM (SELECT passage, template, sum(w * u) AS dot FROM w JOIN u USING (token) GROUP BY ALL)
               JOIN (SELECT passage, sqrt(sum(w * w)) AS norm FROM w GROUP BY passage) USING (passage)),
-        b AS (SELECT passage, name, score FROM (SELECT *, row_number() OVER (PARTITION BY passage ORDER BY score DESC, template) AS r FROM s WHERE score >= 0.6) JOIN t USING (template) WHERE r = 1),
+        i AS (SELECT passage, regexp_replace(regexp_extract(passage, '{licenses.IDENTIFIER}', 1), '{licenses.SUFFIX}', '') AS name FROM (SELECT DISTINCT passage FROM h)),
+        b AS (SELECT passage, name, 1.0::DOUBLE AS score FROM i WHERE name <> '' UNION ALL
+              SELECT passage, name, score FROM (SELECT *, row_number() OVER (PARTITION BY passage ORDER BY score DESC, template) AS r FROM s WHERE score >= 0.6) JOIN t USING (template)
+              WHERE r = 1 AND passage IN (SELECT passage FROM i WHERE name = '')),
         o AS (SELECT doc_id, directory, max(score) AS score, max_by(name, {{'s': score, 'n': name}}) AS license,
                      2 * sum(len(list_filter({_TOKENS.replace("text", "passage")}, lambda x: x <> ''))) >= max(len(list_filter({_TOKENS}, lambda x: x <> ''))) AS declares
               FROM h JOIN b USING (passage) GROUP BY doc_id, directory),

@@ -8,8 +8,9 @@ many, never gather in one place.
 
 Vectors are made integers, floor(scale * x) with x as double, so scores are exact. Cases: a null vector, or one
 with null or non-finite components, takes no part, nor does a null id; vectors of another length than a query's
-aren't its candidates; rows that repeat an id are candidates each on their own, except the query's own id. Fewer
-than k candidates: all. No rows: no rows. Other columns are ignored. A score beyond 62 bits raises OverflowError.
+aren't its candidates; rows that repeat an id are candidates each on their own, except the query's own id; queries
+that repeat an id with other vectors are one query, which has the k best of all their candidates' scores. Fewer than
+k candidates: all. No rows: no rows. Other columns are ignored. A score beyond 62 bits raises OverflowError.
 """
 
 from __future__ import annotations
@@ -84,24 +85,27 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1
     work = Workspace(spark, "topk")
     found = _usable(candidates, key, vector)
     asked = work.cut(_usable(queries, key, vector).distinct().withColumn("size", F.size("x")), "queries")
-    out = None
+    kept = work.path("kept")  # of all blocks, so the plan doesn't grow with their number
+    some = False
     for size in [r["size"] for r in asked.select("size").distinct().orderBy("size").collect()]:
         rows: list = []
         for r in asked.where(F.col("size") == size).select("id", "x").orderBy("id").toLocalIterator(prefetchPartitions=True):
             rows.append(r)
             if len(rows) == block_rows:
-                part, rows = _search(found, rows, k, scale, few, work), []
-                out = part if out is None else out.unionAll(part)
+                _search(found, rows, k, scale, few, kept)
+                rows, some = [], True
         if rows:
-            part = _search(found, rows, k, scale, few, work)
-            out = part if out is None else out.unionAll(part)
-    if out is None:
+            _search(found, rows, k, scale, few, kept)
+            some = True
+    if not some:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    out = spark.read.schema("query_id long, vec_id long, score long").parquet(kept)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _search(found: DataFrame, rows: list, k: int, scale: int, few: int, work: Workspace) -> DataFrame:
+def _search(found: DataFrame, rows: list, k: int, scale: int, few: int, kept: str) -> None:
+    """Appends a block's candidates to the folder."""
     context = found.sparkSession.sparkContext
     block = _Block(np.array([r["id"] for r in rows], np.int64), np.floor(scale * np.array([r["x"] for r in rows], float).reshape(len(rows), -1)))
     sent = context.broadcast(block)
@@ -134,7 +138,7 @@ def _search(found: DataFrame, rows: list, k: int, scale: int, few: int, work: Wo
         for q, ids in ties.items():
             yield _rows(np.full(len(ids), block.ids[q]), ids, np.full(len(ids), low[q]))
 
-    return work.cut(found.mapInArrow(keep, "query_id long, vec_id long, score long"), "kept")
+    found.mapInArrow(keep, "query_id long, vec_id long, score long").write.mode("append").parquet(kept)
 
 
 def _rows(*columns: np.ndarray) -> pa.RecordBatch:

@@ -275,6 +275,41 @@ def test_kneser_ney_sums_to_one():
         assert np.allclose(total + unseen, 1)
 
 
+def test_kneser_ney_is_the_textbooks():
+    """Log-probabilities against the recursive definition on plain dictionaries of counts."""
+    r, order, d = random.Random(1), 3, 0.75
+    texts = {x: "".join(r.choice(letters) for _ in range(400)) for x, letters in (("p", "aab c"), ("q", "abbd "))}
+    counts = {x: Counter(t[n : n + order] for n in range(len(t) - order + 1)) for x, t in texts.items()}
+    models = langid.fit(counts, order)
+    alphabet = {c for t in texts.values() for c in t}
+
+    def probability(lang, gram):
+        """Of the last symbol after those before it: raw counts at the highest order, else of different symbols before."""
+        if not gram:
+            return 1 / (len(alphabet) + 1)
+        k = len(gram)
+        grams = counts[lang] if k == order else Counter({g: len({h[order - k - 1] for h in counts[lang] if h[order - k :] == g}) for g in {h[order - k :] for h in counts[lang]}})
+        if k < order - 1:
+            grams = Counter()
+            for g in {h[order - k - 1 :] for h in counts[lang]}:
+                grams[g[1:]] += 1
+        after = {g: c for g, c in grams.items() if g[:-1] == gram[:-1]}
+        total = sum(after.values())
+        lower = probability(lang, gram[1:])
+        return lower if not total else max(after.get(gram, 0) - d, 0) / total + d * len(after) / total * lower
+
+    text = "abcad bdaz ab"
+    seq = np.array([ord(c) for c in text], np.uint32)
+    got = models.log_probabilities(seq)
+    for n in range(len(text) - order + 1):
+        for k, lang in enumerate(models.languages):
+            assert math.isclose(got[n, k], math.log(probability(lang, text[n : n + order])), rel_tol=1e-9)
+
+
+def test_marks_are_of_words():
+    assert langid.symbols("हिन्दी है!!").tolist() == [ord(c) for c in "हिन्दी"] + [32] + [ord(c) for c in "है"] + [32]
+
+
 def test_language_accuracy(spark):
     got = queries.op3_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").toPandas()
     held = got[got.held_out]
@@ -389,7 +424,7 @@ def test_licence_texts(spark):
     """Full texts and wrapped headers, whose single lines or whole texts are like no short template."""
     paragraphs = lambda text: re.sub(r" (?=[123]\. |THIS SOFTWARE)", "\n\n", text)
     wrapped = lambda text, mark: "\n".join(mark + x for x in textwrap.wrap(text, 60))
-    bsd2, bsd3, mit = (text for _, text in licenses.TEXTS)
+    bsd2, bsd3, mit, isc, zlib_ = (text for _, text in licenses.TEXTS)
     headers = [(name, text) for name, text in licenses.HEADERS if text.startswith("This")]
     code = "\n\nimport os\n\ndef main():\n    return os.getcwd()\n" * 9
     files = {"two/LICENSE": "Copyright (c) 2020, A. Person\n\n" + paragraphs(bsd2), "two/x.c": "int x;", "three/LICENSE": "BSD 3-Clause License\n\nCopyright (c) 2020, A. Person\n\n" + paragraphs(bsd3), "three/x.c": "int x;"}
@@ -398,6 +433,12 @@ def test_licence_texts(spark):
     body = "\n\n".join(f"{n}. Section {n} says that you may convey covered works under terms of section {n + 1}." for n in range(50))
     files |= {"gpl/COPYING": "    GNU GENERAL PUBLIC LICENSE\n      Version 2, June 1991\n\n" + body, "apache/LICENSE": "   Apache License\n  Version 2.0, January 2004\n http://www.apache.org/licenses/\n\n" + body}
     want = {"two/LICENSE": "BSD-2-Clause", "two/x.c": "BSD-2-Clause", "three/LICENSE": "BSD-3-Clause", "three/x.c": "BSD-3-Clause", "mit/LICENSE.txt": "MIT", "src/two.c": "BSD-2-Clause", "src/three.c": "BSD-3-Clause"}
+    whole = {"AGPL-3.0": "AFFERO GENERAL PUBLIC LICENSE\n   Version 3, 19 November 2007", "GPL-3.0": "GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007", "LGPL-2.1": "LESSER GENERAL PUBLIC LICENSE\n  Version 2.1, February 1999", "LGPL-3.0": "LESSER GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007"}
+    files |= {f"{name}/COPYING": f"   GNU {title}\n\n Copyright (C) 2007 Free Software Foundation, Inc.\n\n" + body for name, title in whole.items()} | {"isc/LICENSE": "ISC License\n\nCopyright 2020 A. Person\n\n" + isc, "z/LICENSE": "(C) 2020 A. Person\n\n" + zlib_}
+    want |= {f"{name}/COPYING": name for name in whole} | {"isc/LICENSE": "ISC", "z/LICENSE": "Zlib"}
+    spdx = {"AGPL-3.0-only": "AGPL-3.0", "ISC": "ISC", "LGPL-2.1-or-later": "LGPL-2.1", "GPL-2.0+": "GPL-2.0", "(MIT OR Apache-2.0)": "MIT", "BSD-2-Clause.": "BSD-2-Clause", "0BSD": "0BSD"}
+    files |= {f"spdx/{n}.c": f"/* SPDX-License-Identifier: {x} */" + code for n, x in enumerate(spdx)}
+    want |= {f"spdx/{n}.c": name for n, name in enumerate(spdx.values())}
     want |= {f"src/{n}.py": name for n, (name, _) in enumerate(headers)} | {"gpl/COPYING": "GPL-2.0", "apache/LICENSE": "Apache-2.0"}
     assert {r["path"]: r["license"] for r in licenses.scan(plain(spark, list(files.items()), "path string, text string")).collect()} == want
 
@@ -548,6 +589,21 @@ def test_url_edges(spark):
     assert {r["verdict"] for r in anything.collect()} == {"block"}
 
 
+def test_url_patterns(spark, monkeypatch):
+    """Patterns of paths, rules from a table; the same by an expression, without a shuffle, and by joins."""
+    table = spark.createDataFrame(
+        [("pdf", "allow", "", "", r"\.pdf\z", ["pdf"], 2), ("shop", "block", "shop.com", "", r"/(cart|basket)(/|\z)", [], 1), ("docs", "allow", "x.org", "/docs/", r"v[0-9]+/", [], 1), ("tail", "block", "", "/a", r"b\z", [], 1)],
+        "name string, verdict string, host string, path string, path_pattern string, path_words array<string>, priority int",
+    )
+    rules = urls.rules_of(table)
+    asked = [("http://a.com/x/y.pdf", "pdf"), ("http://a.com/pdf/x", None), ("http://www.shop.com/cart", "shop"), ("http://shop.com/cartoon", None), ("http://x.org/docs/v12/", "docs"), ("http://x.org/docs/latest/", None), ("http://x.org/old/docs/v1/", None), ("http://q.net/a/b", "tail"), ("http://q.net/a/b/c", None), ("http://shop.com/basket/y.pdf", "pdf")]
+    frame = plain(spark, [(u,) for u, _ in asked], "url string")
+    inline = urls.judge(frame, rules)
+    assert {r["url"]: r["rule"] for r in inline.collect()} == dict(asked) and "Exchange" not in inline._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(urls, "INLINE_RULES", 0)
+    assert {r["url"]: r["rule"] for r in urls.judge(frame, rules).collect()} == dict(asked)
+
+
 # --- 9 quality
 
 
@@ -569,6 +625,63 @@ def test_quality_edges(spark):
     assert quality.score(docs.limit(0), labels).count() == 0
 
 
+def posteriors(rows, models):
+    """By hand, for rows of (doc_id, host, path, text): each document's evidence with its site's mean, itself left out."""
+    sigmoid, logit = (lambda x: 1 / (1 + math.exp(-x))), (lambda p: math.log(p / (1 - p)))
+    out = {}
+    for label, model in models.items():
+        evidence = {}
+        for i, _, _, text in rows:
+            (_, raw, words), = quality._texts(pa.array([text]))
+            evidence[i] = model.evidence(words, quality._shape(raw, words))
+        p = {i: sigmoid(e) for i, e in evidence.items()}
+        mean = sum(p.values()) / len(p)
+        hosts, paths = defaultdict(list), defaultdict(list)
+        for i, host, path, _ in rows:
+            hosts[host].append(p[i])
+            paths[host, path].append(p[i])
+
+        def strength(groups):
+            groups = [(len(g), sum(g), m) for g, m in groups if len(g) > 1]
+            n = sum(g[0] for g in groups)
+            spread = sum(k * m * (1 - m) for k, _, m in groups)
+            excess = max((sum(k * (s / k - m) ** 2 for k, s, m in groups) - sum(m * (1 - m) for _, _, m in groups)) / n, 0)
+            return min(1e4, max(1, spread / n / excess - 1 if excess > 0 else 1e4))
+
+        k_host = strength([(g, mean) for g in hosts.values()])
+        k_path = strength([(g, (sum(hosts[h]) + k_host * mean) / (len(hosts[h]) + k_host)) for (h, _), g in paths.items()])
+        for i, host, path, _ in rows:
+            above = (sum(hosts[host]) - p[i] + k_host * mean) / (len(hosts[host]) - 1 + k_host)
+            site = (sum(paths[host, path]) - p[i] + k_path * above) / (len(paths[host, path]) - 1 + k_path)
+            out[label, i] = sigmoid(evidence[i] - logit(mean) + logit(min(max(site, 1e-6), 1 - 1e-6)))
+    return out
+
+
+@pytest.mark.parametrize("large", [quality.LARGE, 20])
+def test_posteriors(spark, monkeypatch, large):
+    """Both levels and their strengths against the same sums by hand, also where large sites are broadcast."""
+    monkeypatch.setattr(quality, "LARGE", large)
+    r, rows = random.Random(2), []
+    for n in range(300):
+        host = r.choice(("a", "a", "a", "b", "c", f"h{n}"))
+        good = r.random() < {"a": 0.9, "b": 0.2}.get(host, 0.5)
+        text = " ".join(r.choice(("fine", "clear", "plain", "word")) if good else r.choice(("$$$", "BUY", "now!!!", "word")) for _ in range(r.randrange(3, 30)))
+        rows.append((n, host, r.choice("xyz"), text, int(good), r.randrange(2)))
+    frame = spark.createDataFrame([x[:4] for x in rows], "doc_id long, host string, path string, text string")
+    labels = spark.createDataFrame([(x[0], x[4], x[5]) for x in rows], "doc_id long, quality int, toxic int")
+    want = posteriors([x[:4] for x in rows], {x: quality.train(frame, labels, x) for x in quality.LABELS})
+    got = quality.score(frame, labels).collect()
+    assert len(got) == 300 and all(abs(x[f"p_{label}"] - want[label, x["doc_id"]]) < 2e-6 for x in got for label in quality.LABELS)
+
+
+def test_quality_of_held_out_labels(spark):
+    """Accuracy on documents whose labels the models haven't seen."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    got = quality.score(docs, labels.where(~held), host="source", path="lang").join(labels.where(held), "doc_id").toPandas()
+    assert len(got) > 50 and ((got.p_quality >= 0.5) == (got.quality == 1)).mean() > 0.95 and ((got.p_toxic >= 0.5) == (got.toxic == 1)).mean() > 0.9
+
+
 def test_sparse_sites_shrink(spark):
     """A site of one bad document hardly moves from its parent; a large bad site does."""
     docs = [(n, ("GOOD text with plain words and some more" if n % 2 else "BAD!!! %%% $$$ ###") + f" n{n}", "big" if n < 400 and n % 2 == 0 else "mixed", "p") for n in range(1200)] + [(5000, "plain words", "tiny", "p"), (5001, "plain words", "big", "p")]

@@ -24,6 +24,19 @@ def test_stages_on_edges(spark, stage, empty):
     assert stage == 4 or out.columns == [c.split()[0] for c in COLUMNS.split(", ")]
 
 
+@pytest.mark.parametrize("stage", range(4))
+def test_stages_keep_clashing_columns(spark, stage):
+    """Columns with names that the operators use come through with their own values."""
+    names = ("doc", "score", "rejected", "lang_pred", "n_words", "n_removed", "key", "at", "class", "size", "component_id", "__key", "__lang", "__words", "a b", "x.y")
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("doc_id < 60")
+    for n, c in enumerate(names):
+        docs = docs.withColumn(c, F.concat(F.lit(f"{n}-"), F.col("doc_id").cast("string")))
+    out = corpus_pipeline.STAGES[stage][1](spark, docs, SMALL)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert rows and all(r[c] == f"{n}-{r['doc_id']}" for r in rows for n, c in enumerate(names))
+
+
 def test_language_stage_keeps_clean_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     extra = docs.limit(1).select(F.lit(-1).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "lang", "source", "n_chars").unionAll(docs.limit(1).withColumn("doc_id", F.lit(-2).cast("long")).withColumn("text", F.lit("123 %%% 456")))
