@@ -66,7 +66,7 @@ def wildcard_all_dicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_TOKENS}, c AS (SELECT n, count(DISTINCT dict_id) AS dict_count FROM entries GROUP BY n)
   SELECT DISTINCT headword, n AS headword_normalized, dict_count FROM entries JOIN c USING (n)""")
 def completion_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A2, A3, K6."""
+    """A2."""
     return lookup.completion_index(corpus.stored_entries(spark, sf_dir))
 
 
@@ -171,29 +171,47 @@ _FTS = r"""d AS (SELECT source AS dict_id, doc_id, regexp_extract_all(strip_acce
 _RANK = """, c AS (SELECT dict_id, count(*) AS df FROM h GROUP BY dict_id),
   s AS (SELECT dict_id, doc_id, -(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * size / a)) AS score
         FROM h JOIN l USING (dict_id, doc_id) JOIN n USING (dict_id) JOIN c USING (dict_id)),
-  r AS (SELECT *, row_number() OVER (PARTITION BY dict_id ORDER BY score, doc_id) AS place FROM s)
-  SELECT dict_id, doc_id AS entry_seq, 'doc ' || doc_id AS headword, round(score, 9) AS rank_score FROM r WHERE place <= 20"""
+  r AS (SELECT *, row_number() OVER (PARTITION BY dict_id ORDER BY score, doc_id) AS place FROM s)"""
+_RANKED = " SELECT dict_id, doc_id AS entry_seq, 'doc ' || doc_id AS headword, round(score, 9) AS rank_score FROM r WHERE place <= 20"
 
 
-@query(f"WITH {_FTS}, h AS (SELECT dict_id, doc_id, count(*) AS f FROM p WHERE w = 'tion' GROUP BY ALL){_RANK}")
+@query(f"WITH {_FTS}, h AS (SELECT dict_id, doc_id, count(*) AS f FROM p WHERE w = 'tion' GROUP BY ALL){_RANK}{_RANKED}")
 def fts_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One word."""
     return fulltext.search(corpus.stored_fulltext(spark, sf_dir), "Tion").select("dict_id", "entry_seq", "headword", F.round("rank_score", 9).alias("rank_score"))
 
 
-@query(f"WITH {_FTS}, h AS (SELECT x.dict_id, x.doc_id, count(*) AS f FROM p x JOIN p y ON x.doc_id = y.doc_id AND y.at = x.at + 1 WHERE x.w = 'of' AND y.w = 'the' GROUP BY ALL){_RANK}")
+@query(f"WITH {_FTS}, h AS (SELECT x.dict_id, x.doc_id, count(*) AS f FROM p x JOIN p y ON x.doc_id = y.doc_id AND y.at = x.at + 1 WHERE x.w = 'of' AND y.w = 'the' GROUP BY ALL){_RANK}{_RANKED}")
 def fts_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F1, F2, F3 with a phrase; punctuation and case of the query don't count."""
     return fulltext.search(corpus.stored_fulltext(spark, sf_dir), "of-THE").select("dict_id", "entry_seq", "headword", F.round("rank_score", 9).alias("rank_score"))
 
 
-@query()
+_SNIPPET = r"""WITH {fts}, h AS (SELECT x.dict_id, x.doc_id, count(*) AS f FROM p x JOIN p y ON x.doc_id = y.doc_id AND y.at = x.at + 1 WHERE x.w = 'with' AND y.w = 'the' GROUP BY ALL){rank},
+  g AS (SELECT dict_id, doc_id, place, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+') AS raw, string_split_regex(text, '[\p{{L}}\p{{N}}]+') AS gap, t FROM r JOIN documents USING (doc_id) JOIN d USING (dict_id, doc_id) WHERE place <= 20),
+  k AS (SELECT *, len(t) AS size, list_filter(range(0, len(t) - 1), lambda i: t[i + 1] = 'with' AND t[i + 2] = 'the') AS hits,
+               list_filter(range(0, len(t)), lambda i: i = 0 OR regexp_matches(gap[i + 1], '[.:][ \t\n\r]*$')) AS starts FROM g),
+  each_hit AS (SELECT *, unnest(hits) AS hit, unnest(range(len(hits))) AS nth FROM k),
+  e AS (SELECT *, len(list_filter(hits, lambda x: x >= hit AND x < hit + 30)) AS many, list_max(list_filter(hits, lambda x: x < hit + 30)) AS last, list_max(list_filter(starts, lambda x: x <= hit)) AS start FROM each_hit),
+  v AS (SELECT dict_id, doc_id, 2 * nth AS turn, 999 + many AS worth, greatest(0, least(hit - trunc((30 - (last + 2 - hit)) / 2.0)::BIGINT, size - 30)) AS begin FROM e
+        UNION ALL SELECT dict_id, doc_id, 2 * nth + 1, CASE WHEN len(list_filter(hits, lambda x: x >= start AND x < start + 30)) > 0 THEN 999 + len(list_filter(hits, lambda x: x >= start AND x < start + 30)) ELSE 0 END + CASE WHEN start = 0 THEN 120 ELSE 100 END, start
+        FROM e WHERE size > 30 AND start < hit),
+  b AS (SELECT dict_id, doc_id, begin FROM v QUALIFY row_number() OVER (PARTITION BY dict_id, doc_id ORDER BY worth DESC, turn) = 1),
+  z AS (SELECT *, least(begin + 30, size) AS stop FROM k JOIN b USING (dict_id, doc_id)),
+  o AS (SELECT dict_id, doc_id, place, CASE WHEN begin > 0 THEN '...' ELSE '' END || array_to_string(list_transform(range(begin, stop), lambda i: CASE WHEN i > begin OR begin = 0 THEN gap[i + 1] ELSE '' END
+          || CASE WHEN list_contains(hits, i) THEN '>>>' ELSE '' END || raw[i + 1] || CASE WHEN i > begin AND list_contains(hits, i - 1) OR i = stop - 1 AND list_contains(hits, i) THEN '<<<' ELSE '' END), '')
+          || CASE WHEN stop >= size THEN gap[size + 1] ELSE '...' END AS snippet FROM z),
+  q AS (SELECT source AS dict_id, (row_number() OVER (ORDER BY source))::INTEGER AS dict_seq FROM (SELECT DISTINCT source FROM documents))
+  SELECT dict_seq, place::INTEGER AS place, dict_id, doc_id AS entry_seq, 'doc ' || doc_id AS headword, snippet, array_to_string(regexp_extract_all(snippet, '>>>([^<]*)<<<', 1), '|') AS marked FROM o JOIN q USING (dict_id)"""
+
+
+@query(_SNIPPET.format(fts=_FTS, rank=_RANK))
 def fts_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matches of all dictionaries in order of discovery, with snippets."""
+    """Matches of all dictionaries in order of discovery, with snippets."""
     docs, stored = corpus.fulltext(spark, sf_dir), corpus.stored_fulltext(spark, sf_dir)
     dictionaries = scope.discovered(stored.totals.select("dict_id").withColumn("name", F.col("dict_id")))
     found = fulltext.snippets(fulltext.search(stored, "with the"), docs, "with the")
-    return fulltext.merged(found, dictionaries).select("dict_seq", "place", "dict_id", "entry_seq", "headword", "snippet", fulltext.highlights(F.col("snippet")).alias("marked"))
+    return fulltext.merged(found, dictionaries).select("dict_seq", "place", "dict_id", "entry_seq", "headword", "snippet", F.array_join(fulltext.highlights(F.col("snippet")), "|").alias("marked"))
 
 
 @query(r"""WITH d AS (SELECT doc_id, regexp_extract_all(strip_accents(lower('doc ' || doc_id || ' ' || text)), '[\p{L}\p{N}]+') AS t FROM documents), e AS (SELECT doc_id, unnest(t) AS token FROM d)
@@ -207,7 +225,7 @@ def fts_docfreq(spark: SparkSession, sf_dir: str) -> DataFrame:
   e AS (SELECT page_id, replace(replace(replace(replace(replace(t, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&quot;', '"') AS t FROM r)
   SELECT page_id, trim(regexp_replace(t, '[ \t\n\r]+', ' ', 'g')) AS plain FROM e""")
 def plain_text_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E7, K4."""
+    """E7."""
     return corpus.table(spark, sf_dir, "pages").select("page_id", text.plain_text(F.col("html"), "mdict").alias("plain"))
 
 
@@ -240,7 +258,7 @@ def headword_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
   s AS (SELECT 'Brand#' || (l_suppkey % 25 + 1) AS dict_id, l_orderkey || '-' || l_linenumber AS headword, l_partkey::INTEGER AS ordinal FROM lineitem)
   SELECT dict_id, headword, ordinal, byte_offset, byte_length FROM s JOIN i USING (dict_id, ordinal)""")
 def synonym_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordinals out of range are dropped."""
+    """Ordinals out of range are dropped."""
     place = (F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1).alias("ordinal")
     main = corpus.table(spark, sf_dir, "part").select(F.col("p_brand").alias("dict_id"), F.col("p_partkey").alias("byte_offset"), F.col("p_size").cast("long").alias("byte_length"), place)
     line = corpus.table(spark, sf_dir, "lineitem")
@@ -262,7 +280,7 @@ def _records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query(f"""WITH {_OFFSETS}, o AS (SELECT DISTINCT dict_id, byte_offset FROM r), e AS (SELECT *, lead(byte_offset) OVER (PARTITION BY dict_id ORDER BY byte_offset) AS next FROM o)
   SELECT dict_id, doc_id, byte_offset::BIGINT AS byte_offset, coalesce(next, total)::BIGINT AS end_offset FROM r JOIN e USING (dict_id, byte_offset) JOIN t USING (dict_id)""")
 def record_span(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J2, A8."""
+    """J2."""
     return spans.record_spans(*_records(spark, sf_dir)).select("dict_id", "doc_id", "byte_offset", "end_offset")
 
 
@@ -270,7 +288,7 @@ def record_span(spark: SparkSession, sf_dir: str) -> DataFrame:
   s AS (SELECT *, sum(size) OVER (PARTITION BY dict_id ORDER BY block) - size AS begin FROM b)
   SELECT dict_id, doc_id, r.byte_offset::BIGINT AS byte_offset, block, (byte_offset - begin)::BIGINT AS within FROM r JOIN s USING (dict_id) WHERE byte_offset >= begin AND byte_offset < begin + size""")
 def record_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J3, S20."""
+    """J3."""
     blocks = corpus.table(spark, sf_dir, "part").select(F.concat(F.lit("src"), (F.col("p_partkey") % 20).cast("string")).alias("dict_id"), F.col("p_partkey").alias("block"), F.col("p_size").alias("packed"), (F.col("p_size").cast("long") * 40).alias("size"))
     found = spans.blocks_of(_records(spark, sf_dir)[0], spans.block_starts(blocks))
     return found.select("dict_id", "doc_id", "byte_offset", "block", (F.col("byte_offset") - F.col("begin")).alias("within"))
@@ -332,7 +350,7 @@ def eldoc_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH a AS (SELECT p_name AS tag, min_by(p_type, p_partkey) AS expansion FROM part GROUP BY p_name) SELECT l_orderkey AS k, l_linenumber AS n, tag, expansion
   FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN p_name ELSE l_returnflag END AS tag FROM lineitem JOIN part ON l_partkey = p_partkey) LEFT JOIN a USING (tag)""")
 def abbreviation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J7, S8."""
+    """J7."""
     p = corpus.table(spark, sf_dir, "part")
     line = corpus.table(spark, sf_dir, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey"))
     tags = line.select(F.lit("d").alias("dict_id"), F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.when(F.col("l_linenumber") % 2 == 0, F.col("p_name")).otherwise(F.col("l_returnflag")).alias("tag"))
@@ -375,7 +393,7 @@ def time_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT DISTINCT source || '/' || lang AS dict_id, lang || ' → en' AS label FROM documents")
 def group_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E26, E27, S1's groups."""
+    """E27."""
     return corpus.document_dictionaries(spark, sf_dir).select("dict_id", F.col("group").alias("label"))
 
 
