@@ -30,7 +30,8 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from glossmill.llm.session import plainly, with_fields
 
 #: The most frequent function words of some languages, by which running text is told.
 STOP_WORDS = frozenset(
@@ -402,11 +403,13 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """Pages with text and n_chars (its code points) in place of html."""
     others = [c for c in pages.columns if c.lower() not in ("html", "text", "n_chars")]
+    rows = plainly(pages, [*others, "html"])
+    columns = rows.columns[: len(others)]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(x.as_py()) for x in batch.column(len(others))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*others, "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*columns, "text", "n_chars"])
 
-    schema = pages.select(*others).withColumns({"text": F.lit(""), "n_chars": F.lit(0).cast("long")}).schema
-    return pages.select(*others, "html").mapInArrow(read, schema)
+    schema = with_fields(rows.select(*columns), text="string", n_chars="long")
+    return rows.mapInArrow(read, schema).toDF(*others, "text", "n_chars")

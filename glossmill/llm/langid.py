@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossmill.llm.session import plainly, with_fields
 from glossmill.llm.wordhash import mix, ngrams
 from glossmill.llm.workspace import Workspace
 
@@ -280,6 +281,8 @@ def identify(documents: DataFrame, models: Models | None, names: tuple[str, str,
     symbols at most) and whether it is rejected (no language, or segments whose cross-entropies are above their languages'
     limits on average)."""
     others = [c for c in documents.columns if c.lower() not in names]
+    rows = plainly(documents, others)
+    columns = rows.columns
     sent, at = documents.sparkSession.sparkContext.broadcast(models), others.index("text")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,11 +307,9 @@ def identify(documents: DataFrame, models: Models | None, names: tuple[str, str,
                 langs += [UNKNOWN if n else models.languages[b] for n, b in zip(none, best, strict=True)]
                 scores += np.where(none, 0.0, np.round(top, 6)).tolist()
                 rejected += (over | none).tolist()
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(others))), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], [*others, *names])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(others))), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], [*columns, "lang", "score", "rejected"])
 
-    rows = documents.select(*(F.col(f"`{c}`") for c in others))
-    schema = rows.withColumns(dict(zip(names, (F.lit(""), F.lit(0.0), F.lit(False)), strict=True))).schema
-    return rows.mapInArrow(read, schema)
+    return rows.mapInArrow(read, with_fields(rows, lang="string", score="double", rejected="boolean")).toDF(*others, *names)
 
 
 def held_out(doc_id: Column) -> Column:

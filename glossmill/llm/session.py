@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 #: Rows of an Arrow batch where rows are whole texts: some 8 MB of them, where Spark's default would make 40.
@@ -10,6 +12,16 @@ BATCH_ROWS = 2048
 _KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+def plainly(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns, whatever is in their names, under numbers, since Arrow functions take only plain names."""
+    return df.select(*(F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(columns)))
+
+
+def with_fields(df: DataFrame, **kinds: str) -> StructType:
+    """The schema with more fields, by their types."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(", ".join(f"`{n}` {k}" for n, k in kinds.items())).fields])
+
+
 def unused(columns: list[str], name: str) -> str:
     """The name, with as many marks as no column has."""
     held = {c.lower() for c in columns}

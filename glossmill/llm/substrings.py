@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossmill.llm import bits, wordhash
-from glossmill.llm.session import unused
+from glossmill.llm.session import plainly, with_fields
 from glossmill.llm.workspace import Workspace
 from glossmill.shared import delete, listed, put
 
@@ -287,7 +287,8 @@ def dedup(documents: DataFrame, batches: int = 3, window: int = 13, gram: int =
 def without(documents: DataFrame, repeats: DataFrame, window: int = 13, counts: tuple[str, str] = ("n_words", "n_removed")) -> DataFrame:
     """Documents without the words of the windows at ``repeats`` (doc, key, at), as ``FingerprintIndex.add`` returns them."""
     others = [c for c in documents.columns if c.lower() not in counts]
-    key, at, doc, of = (unused(others, x) for x in ("__key", "__at", "__doc", "__of"))
+    rows = plainly(documents, others)
+    columns = rows.columns
     touched = bits.within(repeats.select("doc"), repeats.count())
     texts, ids = others.index("text"), others.index("doc_id")
 
@@ -299,7 +300,7 @@ def without(documents: DataFrame, repeats: DataFrame, window: int = 13, counts:
         for batch in batches:
             batch = batch.take(pa.array(np.flatnonzero(~may_lose(batch))))
             n = wordhash.counted(*wordhash.utf8(batch.column(texts)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(np.zeros(len(n), np.int64))], [*others, *counts])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(np.zeros(len(n), np.int64))], [*columns, "words", "removed"])
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -308,7 +309,7 @@ def without(documents: DataFrame, repeats: DataFrame, window: int = 13, counts:
             keys = np.zeros(batch.num_rows, np.int64)
             for a, b in wordhash.groups(offsets):
                 keys[a:b] = _text_keys(*wordhash.words(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], lower=False))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys)], [*others, key])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys)], [*columns, "key"])
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -322,15 +323,14 @@ def without(documents: DataFrame, repeats: DataFrame, window: int = 13, counts:
                         gone[found + j] = True
                 n_removed.append(int(gone.sum()))
                 out.append(_without(text.as_py(), gone) if gone.any() else text.as_py())
-            columns = batch.columns[: len(others)]
-            columns[texts] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words), pa.array(n_removed, pa.int64())], [*others, *counts])
-
-    rows = documents.select(*(F.col(f"`{c}`") for c in others))
-    schema = rows.withColumns({c: F.lit(0).cast("long") for c in counts}).schema
-    places = repeats.select(F.col("doc").alias(doc), F.col("key").alias(of), F.col("at").alias(at))
-    met = rows.mapInArrow(keyed, rows.withColumn(key, F.lit(0).cast("long")).schema).join(places, (F.col("doc_id") == F.col(doc)) & (F.col(key) == F.col(of)), "left")
-    return rows.mapInArrow(clean, schema).unionAll(met.select(*(F.col(f"`{c}`") for c in others), at).mapInArrow(rewrite, schema))
+            held = batch.columns[: len(others)]
+            held[texts] = pa.array(out, pa.string())
+            yield pa.RecordBatch.from_arrays([*held, pa.array(n_words), pa.array(n_removed, pa.int64())], [*columns, "words", "removed"])
+
+    schema = with_fields(rows, words="long", removed="long")
+    places = repeats.select("doc", F.col("key").alias("of"), "at")
+    met = rows.mapInArrow(keyed, with_fields(rows, key="long")).join(places, (F.col(columns[ids]) == F.col("doc")) & (F.col("key") == F.col("of")), "left")
+    return rows.mapInArrow(clean, schema).unionAll(met.select(*columns, "at").mapInArrow(rewrite, schema)).toDF(*others, *counts)
 
 
 def _without(text: str, gone: np.ndarray) -> str:
