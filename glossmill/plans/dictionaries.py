@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossmill.engine import Engine
 from glossmill.functions import markup, text
 from glossmill.operators import history, index, lookup, scope, spans
 from glossmill.plans import library
@@ -515,6 +516,25 @@ def indexing_stopped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.outcomes().select(F.regexp_extract("dict_id", "([^/]*)$", 1).alias("file"), F.when(F.col("error").isNull(), "indexed").otherwise(F.col("error")).alias("outcome"))
 
 
+@query(f"""WITH {NATIONS}, e AS (SELECT w, 'Nations' AS name, 1 AS place, v.headword, v.i AS entry_seq, NULL::VARCHAR AS entry_key FROM n JOIN (SELECT *, row_number() OVER (ORDER BY k, j) - 1 AS i FROM (
+    SELECT k, unnest(CASE WHEN k % 3 = 0 THEN [w, w || 's', w] ELSE [w] END) AS headword, unnest(range(CASE WHEN k % 3 = 0 THEN 3 ELSE 1 END)) AS j FROM n)) v ON v.headword = w
+    UNION ALL SELECT w, 'Listed', 0, w, NULL, w || ':0' FROM n WHERE k % 2 = 0)
+  SELECT w AS word, name, (dense_rank() OVER (PARTITION BY w ORDER BY place))::INTEGER AS rank, headword, coalesce(entry_seq, -1)::BIGINT AS entry_seq, entry_key, 2::BIGINT AS indexed FROM e WHERE name <> 'Twice'""")
+def engine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Discovery once, indexing of what is stale (two dictionaries, one of them changed and indexed
+    again), lookup in the index and by a format that answers itself, whose dictionary goes first."""
+    rows = library.nations(spark, sf_dir)
+    folder = library.written(spark, "engine", {"a.dsl": library.dsl(rows).encode(), "none.dsl": b'#NAME "Twice"\n\nnothing\n\tbody\n'})
+    registry = scan.standard()
+    registry.register(library.Listed([w for w, _ in rows][::2]))
+    given = spark.createDataFrame([("Listed", -1, 0)], "name string, priority int, seq int")
+    e = Engine(spark, [folder], fresh(spark, "engine-store"), registry, given)
+    indexed = e.ensure_indexed()
+    if e.ensure_indexed():
+        raise RuntimeError("an index that is up to date was made again")
+    return e.lookup([w for w, _ in rows]).select("word", "name", "rank", "headword", F.coalesce("entry_seq", F.lit(-1)).alias("entry_seq"), "entry_key", F.lit(indexed).cast("long").alias("indexed"))
+
+
 @query(f"WITH {NATIONS} SELECT w AS word, 'body of ' || w AS body FROM n WHERE k % 2 = 0")
 def custom_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The registry's hooks: a format that finds its own dictionaries and answers words itself, beside stored entries."""

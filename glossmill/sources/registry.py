@@ -43,7 +43,8 @@ class Format:
         return []
 
     def detect(self, path: str, head: bytes) -> bool:
-        raise NotImplementedError
+        """Whether a file, by its path and beginning, is a dictionary's; formats without files have none."""
+        return False
 
     def metadata(self, path: str, files: Files) -> Metadata:
         return Metadata()

@@ -119,8 +119,10 @@ def discover(spark: SparkSession, directories: Sequence[str], registry: Registry
     return known.withColumn("group", F.coalesce("group", label)).withColumn("dict_id", F.md5("path"))
 
 
-def _decoded(spark: SparkSession, directories: Sequence[str], registry: Registry, rows_of, schema: str) -> DataFrame:
+def _decoded(spark: SparkSession, directories: Sequence[str], registry: Registry, rows_of, schema: str, only: Sequence[str] | None = None) -> DataFrame:
     found = files(spark, directories)
+    taken = mains(found, registry)
+    taken = taken if only is None else taken.where(F.md5("path").isin(list(only)))
     names = [c.split()[0] for c in schema.split(", ")]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,16 +138,16 @@ def _decoded(spark: SparkSession, directories: Sequence[str], registry: Registry
 
     kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
     wanted = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")])
-    return _with_companions(found, registry, mains(found, registry)).mapInArrow(read, schema)
+    return _with_companions(found, registry, taken).mapInArrow(read, schema)
 
 
-def entries(spark: SparkSession, directories: Sequence[str], registry: Registry | None = None) -> DataFrame:
-    """The entries of all dictionaries below, numbered in the order of their files."""
+def entries(spark: SparkSession, directories: Sequence[str], registry: Registry | None = None, only: Sequence[str] | None = None) -> DataFrame:
+    """The entries of all dictionaries below, or of those with the dict_ids ``only``, numbered in the order of their files."""
 
     def rows(f, path, content):
         return ((n, e.headword, e.offset, e.length, e.key) for n, e in enumerate(f.entries(path, content)))
 
-    return _decoded(spark, directories, registry or standard(), rows, ENTRIES)
+    return _decoded(spark, directories, registry or standard(), rows, ENTRIES, only)
 
 
 def bodies(spark: SparkSession, directories: Sequence[str], registry: Registry | None = None) -> DataFrame:

@@ -55,6 +55,24 @@ def test_a_search_reads_its_own_postings(spark, tmp_path):
     assert [r["entry_seq"] for r in fulltext.search(stored, "red skin red").collect()] == []
 
 
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace as Fake
+
+    from glossmill.shared import built, delete, exists, shared_dir
+
+    session = lambda master, folder=None: Fake(conf=Fake(get=lambda key, other: folder or other), sparkContext=Fake(master=master))
+    assert shared_dir(session("local[4]")).startswith("file:") and shared_dir(session("spark://x:1", "hdfs://y/z")) == "hdfs://y/z"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(session("spark://x:1"))
+    made = []
+    build = lambda path: (made.append(path), spark.range(3).write.parquet(path))
+    first = built(spark, "threes", "/root/testdata/sf0.001/region.parquet", build)
+    assert built(spark, "threes", "/root/testdata/sf0.001/region.parquet", build) == first and len(made) == 1 and spark.read.parquet(first).count() == 3
+    assert built(spark, "threes", "/root/testdata/sf0.01/region.parquet", build) != first
+    delete(spark, first)
+    assert not exists(spark, first)
+
+
 def test_range_join_is_an_equi_join(spark):
     blocks = spans.block_starts(spark.createDataFrame([("d", 0, 5, 70_000), ("d", 1, 5, 10)], "dict_id string, block int, packed int, size int"))
     records = spark.createDataFrame([("d", 69_999), ("d", 70_000), ("d", 70_010)], "dict_id string, byte_offset long")
