@@ -8,8 +8,9 @@ from pyspark.sql.types import StructType
 
 
 #: Rows of an Arrow batch where rows are whole texts: some 8 MB of them, where Spark's default would make 40.
-BATCH_ROWS = 2048
+BATCH_ROWS, STAGE_ROWS = 2048, 512
 _KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_SCAN = "spark.sql.parquet.columnarReaderBatchSize"
 
 
 def plainly(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -30,12 +31,19 @@ def unused(columns: list[str], name: str) -> str:
     return name
 
 
-def for_texts(spark: SparkSession) -> SparkSession:
-    """The session with Arrow batches of at most BATCH_ROWS rows. Results that a query returns are computed after it
-    has returned, so this can't be undone there."""
-    spark.conf.set(_KEY, str(min(BATCH_ROWS, int(spark.conf.get(_KEY)))))
+def for_texts(spark: SparkSession, rows: int = BATCH_ROWS) -> SparkSession:
+    """The session with Arrow batches of at most so many rows. Results that a query returns are computed after it has
+    returned, so this can't be undone there."""
+    spark.conf.set(_KEY, str(min(rows, int(spark.conf.get(_KEY)))))
     return spark
 
 
+def for_stages(spark: SparkSession) -> SparkSession:
+    """``for_texts`` where many stages follow each other in the same executors, with batches of STAGE_ROWS rows and scans
+    by twice as many. Freed buffers of over 4 MB aren't pooled but left to the C library, which keeps much of them."""
+    spark.conf.set(_SCAN, str(min(2 * STAGE_ROWS, int(spark.conf.get(_SCAN)))))
+    return for_texts(spark, STAGE_ROWS)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return for_texts(spark).read.parquet(f"{sf_dir}/{table}.parquet")

@@ -1,6 +1,7 @@
 """Stages of the pipeline, each on its own input, against brute force."""
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +72,15 @@ def test_whole_pipeline(spark):
     key = ("doc_id", "piece", "start", "length", "ids_crc32")
     want = sorted(tuple(r[c] for c in key) for r in corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect())
     assert sorted(tuple(r[c] for c in key) for r in corpus_pipeline.run(spark, SMALL).collect()) == want
+
+
+def test_stages_send_small_batches(spark):
+    """Five stages share the executors' memory, so each sets batches that hold some megabytes of texts at most."""
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches)
+    rows = [(i, f"some words of text {i}", "en", "s", 20 + i) for i in range(6)]
+    for name, stage in corpus_pipeline.STAGES:
+        other = spark.newSession()
+        docs = other.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+        stage(other, docs, SMALL)
+        sent = other.range(3000, numPartitions=1).mapInArrow(sizes, "n long").agg({"n": "max"}).first()[0]
+        assert sent <= 512 and int(other.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 1024, name
