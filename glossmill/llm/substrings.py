@@ -42,7 +42,9 @@ from glossmill.shared import delete, listed, put
 #: A window that at least so many documents' windows equal is settled where texts are read; of these there are at most
 #: MOST_HEAVY, for which the number is raised.
 HEAVY, MOST_HEAVY = 10_000, 50_000
-_RUNS = {"fingerprints": ("fp long, first long, many boolean", "fp"), "windows": ("whole long, check int, first long", "whole")}
+#: By kind of run: columns, those that it is bucketed by, and that by which a bucket is sorted.
+_RUNS = {"fingerprints": ("fp long, first long, many boolean", ["fp"], "fp"), "windows": ("whole long, check int, first long", ["whole", "check"], "whole")}
+_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 
 
 def _windows(batch: pa.RecordBatch, window: int, gram: int):
@@ -145,6 +147,18 @@ def _text_keys(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return wordhash.mix(sums[bounds[1:]] - sums[bounds[:-1]]).view(np.int64)
 
 
+# Runs are merged by join: Spark 4.1 groups a union of bucketed tables by their buckets without bringing these together.
+def _merged_fingerprints(one: DataFrame, other: DataFrame) -> DataFrame:
+    other = other.select("fp", F.col("first").alias("too"), F.col("many").alias("more"))
+    many = F.coalesce("many", F.lit(False)) | F.coalesce("more", F.lit(False)) | F.col("first").isNotNull() & F.col("too").isNotNull()
+    return one.join(other.hint("merge"), "fp", "full_outer").select("fp", F.least("first", "too").alias("first"), many.alias("many"))
+
+
+def _merged_windows(one: DataFrame, other: DataFrame) -> DataFrame:
+    other = other.select("whole", "check", F.col("first").alias("too"))
+    return one.select("whole", "check", "first").join(other.hint("merge"), ["whole", "check"], "full_outer").select("whole", "check", F.least("first", "too").alias("first"))
+
+
 class FingerprintIndex:
     """The index in a folder of a shared store: the one that is there, or else a new one."""
 
@@ -163,9 +177,9 @@ class FingerprintIndex:
             raise ValueError(f"the index at {self.path} is of {saved['window']} words by {saved['gram']}")
         self.buckets, self.version, self.runs = saved["buckets"], saved["version"], saved["runs"]
         for kind, runs in self.runs.items():
-            schema, key = _RUNS[kind]
-            for r in runs:
-                self.spark.sql(f"CREATE TABLE IF NOT EXISTS {r['name']} ({schema}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{r['name']}'")
+            schema, _, key = _RUNS[kind]
+            for r in runs:  # runs of before buckets had names of their own are bucketed by what they are sorted by
+                self.spark.sql(f"CREATE TABLE IF NOT EXISTS {r['name']} ({schema}) USING parquet CLUSTERED BY ({', '.join(r.get('by', [key]))}) SORTED BY ({key}) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{r['name']}'")
 
     def _save(self) -> None:
         """The manifest of the runs that count now; what only older ones name goes after it is written."""
@@ -179,11 +193,18 @@ class FingerprintIndex:
                 delete(self.spark, f"{self.path}/{x}")
 
     def _write(self, kind: str, rows: DataFrame) -> dict:
-        name, key = f"run_{uuid.uuid4().hex}", _RUNS[kind][1]
-        with self.work.small_batches():
-            rows.write.format("parquet").bucketBy(self.buckets, key).sortBy(key).option("path", f"{self.path}/{name}").saveAsTable(name)
+        """Tasks have whole buckets, as the rows are dealt by what a run is bucketed by. So they sort by the key alone and
+        keep a bucket's file open, where sortBy would sort by bucket and key, which takes several times as long."""
+        name, (_, by, key) = f"run_{uuid.uuid4().hex}", _RUNS[kind]
+        usual = self.spark.conf.get(_WRITERS)
+        self.spark.conf.set(_WRITERS, str(self.buckets))
+        try:
+            with self.work.small_batches():
+                rows.sortWithinPartitions(key).write.format("parquet").bucketBy(self.buckets, *by).option("path", f"{self.path}/{name}").saveAsTable(name)
+        finally:
+            self.spark.conf.set(_WRITERS, usual)
         self.work.release()
-        return {"name": name, "rows": self.spark.table(name).count()}
+        return {"name": name, "rows": self.spark.table(name).count(), "by": by}
 
     def _tables(self, kind: str) -> list[DataFrame]:
         return [self.spark.table(r["name"]) for r in self.runs[kind]]
@@ -212,16 +233,15 @@ class FingerprintIndex:
                 history = history.join(lone.withColumnRenamed("first", "doc_id").distinct(), "doc_id", "left_semi")
             all_windows = all_windows.unionAll(_shared_windows(history, shared, known, w, g, only))
         least = all_windows.groupBy("whole", "check").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n"))
-        least = self.work.cut(least, "least", release=True)
+        seen = self._write("windows", least)
         self.runs["fingerprints"].append(new)
-        best = least
+        best = self.spark.table(seen["name"])
         for old in self._tables("windows"):
             o = old.select("whole", "check", F.col("first").alias("older"))
             best = best.join(o.hint("merge"), ["whole", "check"], "left").select("whole", "check", F.least("first", "older").alias("first"), "last", "n")
         best = self.work.cut(best.where("first < last").select("whole", "check", "first", "n"), "best", release=True)
-        self.runs["windows"].append(self._write("windows", least.select("whole", "check", "first")))
+        self.runs["windows"].append(seen)
         self._save()
-        self.work.drop(least)
         out = self._settle(batch, best)
         self.work.drop(best)
         return out
@@ -235,8 +255,9 @@ class FingerprintIndex:
         found = _repeats(batch, bits.within(best.select("whole"), number), heavy, self.window)
         light = best.where(F.col("n") < limit).select("whole", "check", "first")
         both = found.join(light, ["whole", "check"], "left").where("settled or doc > first")
-        # As many starts as the text has words, at most.
-        return self.work.cut(both.groupBy("doc", "key").agg(F.collect_set("at").alias("at")), "repeats", release=True)
+        # As many starts as the text has words, at most. They are dealt first: a task of the join has few of a text each.
+        starts = both.select("doc", "key", "at").repartition("doc", "key")
+        return self.work.cut(starts.groupBy("doc", "key").agg(F.collect_set("at").alias("at")), "repeats", release=True)
 
     def _compact(self) -> None:
         """Merges the smallest runs of a kind that has more than ``fanout``."""
@@ -245,11 +266,7 @@ class FingerprintIndex:
                 continue
             runs.sort(key=lambda r: r["rows"])
             merged, kept = runs[: len(runs) - self.fanout + 1], runs[len(runs) - self.fanout + 1 :]
-            both = reduce(DataFrame.unionAll, [self.spark.table(r["name"]) for r in merged])
-            if kind == "fingerprints":
-                both = both.groupBy("fp").agg(F.min("first").alias("first"), (F.max("many") | (F.count("*") > 1)).alias("many"))
-            else:
-                both = both.groupBy("whole", "check").agg(F.min("first").alias("first"))
+            both = reduce(_merged_fingerprints if kind == "fingerprints" else _merged_windows, [self.spark.table(r["name"]) for r in merged])
             self.runs[kind] = [*kept, self._write(kind, both)]
             self._save()
 

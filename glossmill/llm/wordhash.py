@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SEGMENT = 1 << 18
+SEGMENT = 1 << 17
 _U = np.uint64
 
 
@@ -59,6 +59,11 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
+def _marked(part: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """``marks[part]``, in a fifth of its time."""
+    return np.frombuffer(part.tobytes().translate(marks.tobytes()), bool)
+
+
 def words(raw: np.ndarray, offsets: np.ndarray, lower: bool, white: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words (runs of bytes that ``white`` doesn't mark) in order, and for each text the range of its words (one more entry than texts)."""
     table = _LOWER if lower else _BYTES
@@ -67,7 +72,7 @@ def words(raw: np.ndarray, offsets: np.ndarray, lower: bool, white: np.ndarray =
     while at < n:
         end = min(at + SEGMENT, n)
         if end < n:
-            cut = np.flatnonzero(white[raw[at:end]])
+            cut = np.flatnonzero(_marked(raw[at:end], white))
             inner = np.searchsorted(offsets, end, "right") - 1
             stop = max(at + cut[-1] + 1 if len(cut) else 0, offsets[inner])
             while stop <= at and end < n:  # one word longer than a segment
@@ -77,7 +82,7 @@ def words(raw: np.ndarray, offsets: np.ndarray, lower: bool, white: np.ndarray =
                 stop = max(at + cut[-1] + 1 if len(cut) else 0, offsets[inner])
             end = stop if stop > at else n
         part = raw[at:end]
-        solid = ~white[part]
+        solid = ~_marked(part, white)
         begins, ends = solid.copy(), solid.copy()
         begins[1:] &= ~solid[:-1]
         ends[:-1] &= ~solid[1:]
@@ -101,13 +106,12 @@ def counted(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out = np.zeros(len(offsets) - 1, np.int64)
     for a, b in groups(offsets):
         part, places = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-        begins = ~WHITE[part]
-        begins[1:] &= WHITE[part[:-1]]
-        if len(part):
-            first = places[:-1][places[:-1] < len(part)]
-            begins[first] = ~WHITE[part[first]]
-        sums = np.concatenate(([0], np.cumsum(begins)))
-        out[a:b] = sums[places[1:]] - sums[places[:-1]]
+        solid = ~_marked(part, WHITE)
+        begins = solid.copy()
+        begins[1:] &= ~solid[:-1]
+        first = places[:-1][places[:-1] < len(part)]
+        begins[first] = solid[first]
+        out[a:b] = np.diff(np.searchsorted(np.flatnonzero(begins), places))
     return out
 
 

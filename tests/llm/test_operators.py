@@ -559,6 +559,31 @@ def test_substring_index_is_kept(spark, tmp_path):
     assert not (tmp_path / "index").exists()
 
 
+def test_substring_runs(spark, tmp_path, monkeypatch):
+    """A run has a file for each bucket at most, sorted, and merged runs hold each key once."""
+    usual = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        index = substrings.FingerprintIndex(spark, f"file://{tmp_path}/index", fanout=1)
+        same = " ".join(f"w{n}" for n in range(400))
+        for n in range(3):
+            index.add(plain(spark, [(3 * n, same), (3 * n + 1, same), (3 * n + 2, f"own{n} {same}")]), plain(spark, [(i, same) for i in range(3 * n)]) if n else None)
+        index._compact()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", usual)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for kind, columns in (("fingerprints", ["fp"]), ("windows", ["whole", "check"])):
+        (run,) = index.runs[kind]
+        files = sorted((tmp_path / "index" / run["name"]).glob("*.parquet"))
+        assert 0 < len(files) <= index.buckets
+        tables = [pq.read_table(f) for f in files]
+        keys = [tuple(r.values()) for t in tables for r in t.select(columns).to_pylist()]
+        assert len(keys) == len(set(keys)) == run["rows"]
+        assert all((x := t.column(columns[0]).to_pylist()) == sorted(x) for t in tables)
+    index.delete()
+
+
 def test_counted_words():
     texts = ["a b", "", " x ", "one", None, "\t", "two  words ", "é ü"]
     assert wordhash.counted(*wordhash.utf8(pa.array(texts, pa.string()))).tolist() == [len((t or "").split()) for t in texts]
