@@ -14,9 +14,12 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
+from glossmill.llm.session import frugal
 from glossmill.llm.wordhash import mix
 
 SLICE = 1 << 16
+#: Slices of a batch: 1 MB.
+SENT = 16
 MOST_KEYS = 1 << 27
 BITS_PER_KEY = 8
 
@@ -65,7 +68,9 @@ def build(keys: DataFrame, count: int) -> Broadcast:
         if some:
             parts = {k: bits[k * SLICE : (k + 1) * SLICE] for k in range(-(-n // SLICE))}
             parts = {k: v.tobytes() for k, v in parts.items() if v.any()}
-            yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array(list(parts.values()), pa.binary())], ["k", "bits"])
+            for at in range(0, len(parts), SENT):
+                some_parts = dict(list(parts.items())[at : at + SENT])
+                yield pa.RecordBatch.from_arrays([pa.array(list(some_parts), pa.int32()), pa.array(list(some_parts.values()), pa.binary())], ["k", "bits"])
 
     def merge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, k = None, 0
@@ -76,7 +81,7 @@ def build(keys: DataFrame, count: int) -> Broadcast:
         if total is not None:
             yield pd.DataFrame({"k": [k], "bits": [total.tobytes()]})
 
-    rows = keys.mapInArrow(fill, "k int, bits binary").groupBy("k").applyInPandas(by_batches(merge), "k int, bits binary").collect()
+    rows = keys.mapInArrow(frugal(fill), "k int, bits binary").groupBy("k").applyInPandas(by_batches(merge), "k int, bits binary").collect()
     bits = np.zeros(n, np.uint8)
     for r in rows:
         bits[r["k"] * SLICE : r["k"] * SLICE + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)

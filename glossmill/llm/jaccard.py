@@ -34,9 +34,13 @@ from pyspark.sql import functions as F
 
 from glossmill.llm import bits, wordhash
 from glossmill.llm.components import components
+from glossmill.llm.session import frugal
 from glossmill.llm.workspace import Workspace
 
 SLICE = 1 << 13
+#: Slices, entries and bytes of sets of a batch, which are 1 to 2 MB: larger buffers aren't pooled by the JVM, and much of
+#: what is freed of them stays with the C library.
+SENT_SLICES, SENT_ENTRIES, SENT_BYTES = 32, 1 << 16, 1 << 20
 #: Buckets of more documents than this are large.
 LARGE = 16
 #: Classes of a bucket that one task compares with the bucket.
@@ -111,11 +115,12 @@ class JaccardJoin:
                 size = batch.num_rows
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(classes, mask=sizes == 0), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], names)
             parts = [(k, x.tobytes()) for k in range(0, counts.size // SLICE) if (x := counts[k * SLICE : (k + 1) * SLICE]).any()]
-            if parts:
-                empty = pa.nulls(len(parts), pa.int64())
-                yield pa.RecordBatch.from_arrays([empty, empty, empty, pa.array([k for k, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names)
+            for at in range(0, len(parts), SENT_SLICES):
+                some = parts[at : at + SENT_SLICES]
+                empty = pa.nulls(len(some), pa.int64())
+                yield pa.RecordBatch.from_arrays([empty, empty, empty, pa.array([k for k, _ in some], pa.int32()), pa.array([x for _, x in some], pa.binary())], names)
 
-        return work.cut(documents.mapInArrow(read, "doc_id long, size long, class long, k int, counts binary"), "scan")
+        return work.cut(documents.mapInArrow(frugal(read), "doc_id long, size long, class long, k int, counts binary"), "scan")
 
     def _counts(self, scanned: DataFrame):
         def total(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,7 +161,7 @@ class JaccardJoin:
                         central = counts.value[(unordered >> np.uint64(64 - self.log2_counts)).astype(np.int64)].mean() if known is not None or whole else 0
                         waiting.append((prefix.view(np.int64), np.full(len(prefix), _class(unordered)[0]), np.full(len(prefix), size, np.int32), pos, np.full(len(prefix), int(central), np.int32)))
                         held += len(prefix)
-                    if held > 1 << 18:
+                    if held > SENT_ENTRIES:
                         yield flush(waiting)
                         waiting, held = [], 0
                 if held:
@@ -167,7 +172,7 @@ class JaccardJoin:
             over = np.zeros(len(columns[0]), bool) if large is None else bits.contains(large.value, columns[0].view(np.uint64))
             return pa.RecordBatch.from_arrays([pa.array(x) for x in (*columns, over)], names)
 
-        return documents.mapInArrow(read, "gram long, class long, size int, pos int, central int, large boolean")
+        return documents.mapInArrow(frugal(read), "gram long, class long, size int, pos int, central int, large boolean")
 
     def _arrays(self, documents: DataFrame, counts, reps: DataFrame, pairs: DataFrame, work: Workspace) -> DataFrame:
         """(class, grams): the ordered sets of the classes in pairs, each read from its representative (rep, class).
@@ -190,13 +195,13 @@ class JaccardJoin:
                     classes.append(_class(grams)[0])
                     arrays.append(self._ordered(grams, counts.value).tobytes())
                     held += len(arrays[-1])
-                    if held > 1 << 23:
+                    if held > SENT_BYTES:
                         yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(arrays, pa.binary())], ["class", "grams"])
                         classes, arrays, held = [], [], 0
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(arrays, pa.binary())], ["class", "grams"])
 
-        return documents.mapInArrow(read, "class long, grams binary")
+        return documents.mapInArrow(frugal(read), "class long, grams binary")
 
     def _candidates(self, met: DataFrame) -> DataFrame:
         """From entries joined on their n-gram, the second's columns ending in _y, under the length and positional
@@ -233,7 +238,7 @@ class JaccardJoin:
         y = arrays.select(F.col("class").alias("b"), F.col("grams").alias("y"))
         x = arrays.select(F.col("class").alias("a"), F.col("grams").alias("x"))
         both = pairs.join(y, "b").join(x, "a").select("a", "b", "i", "j", "x", "y")
-        return both.mapInArrow(verify, "a long, b long, common long")
+        return both.mapInArrow(frugal(verify), "a long, b long, common long")
 
     def groups(self, documents: DataFrame) -> DataFrame:
         """(doc_id, n_shingles, component_id) for every row of (doc_id, text)."""

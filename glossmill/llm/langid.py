@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossmill.llm.session import plainly, with_fields
+from glossmill.llm.session import frugal, plainly, with_fields
 from glossmill.llm.wordhash import mix, ngrams
 from glossmill.llm.workspace import Workspace
 
@@ -234,7 +234,7 @@ def train(labelled: DataFrame, order: int = 4, sample: int = 1000) -> Models | N
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["lang", "gram", "n"])
 
     held = (F.pmod(F.xxhash64(F.lit(1), "place"), F.lit(5)) == 0) & F.col("common")
-    found = taken.where(~held).select("text", "lang").mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    found = taken.where(~held).select("text", "lang").mapInArrow(frugal(count), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     counts: dict[str, dict[str, int]] = defaultdict(dict)
     for lang, gram, n in zip(*(found.column(c).to_pylist() for c in ("lang", "gram", "n")), strict=True):
         counts[lang][gram] = n
@@ -265,7 +265,7 @@ def _calibrated(models: Models, held: DataFrame) -> Models:
 
     # A histogram by 64ths of a bit comes back.
     found = defaultdict(list)
-    for r in held.mapInArrow(measure, "own long, bits long, n long").groupBy("own", "bits").agg(F.sum("n").alias("n")).collect():
+    for r in held.mapInArrow(frugal(measure), "own long, bits long, n long").groupBy("own", "bits").agg(F.sum("n").alias("n")).collect():
         found[r["own"]].append((r["bits"] / 64, r["n"]))
     limits, spread = models.chance.copy(), np.full(len(names), np.nan)
     for n, histogram in found.items():
@@ -309,7 +309,7 @@ def identify(documents: DataFrame, models: Models | None, names: tuple[str, str,
                 rejected += (over | none).tolist()
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(others))), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], [*columns, "lang", "score", "rejected"])
 
-    return rows.mapInArrow(read, with_fields(rows, lang="string", score="double", rejected="boolean")).toDF(*others, *names)
+    return rows.mapInArrow(frugal(read), with_fields(rows, lang="string", score="double", rejected="boolean")).toDF(*others, *names)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -19,9 +19,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from glossmill.llm.session import frugal
 from glossmill.llm.tokens import encoder
 from glossmill.llm.workspace import Workspace
 
@@ -139,7 +140,15 @@ def pieces(documents: DataFrame, tokenizer: str, size: int, end_id: int, keep_id
     def table(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
+    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(frugal(cut), PIECES)
+
+
+def _frame(spark: SparkSession, slots: list[SlotRange]) -> DataFrame:
+    """The ranges as a local table. Rows of Python would be read by workers of another daemon, which stay in the executors."""
+    kinds = {"long": pa.int64(), "int": pa.int32()}
+    names, types = zip(*(x.split() for x in RANGE.split(", ")), strict=True)
+    columns = [pa.array([getattr(x, name) for x in slots], kinds[kind]) for name, kind in zip(names, types, strict=True)]
+    return spark.createDataFrame(pa.table(columns, names=list(names)), RANGE)
 
 
 def pack(documents: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
@@ -154,7 +163,7 @@ def pack(documents: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0
     lengths = held.groupBy("length").agg(F.sum("held").alias("held"), F.count("*").alias("tasks")).collect()  # at most `size` rows
     histogram = {r["length"]: r["held"] for r in lengths}
     slots = plan(histogram, size)
-    ranges = spark.createDataFrame([(*vars(x).values(),) for x in slots], RANGE)
+    ranges = _frame(spark, slots)
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     starts = held.select("length", "task", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("rank_0"))
     starts = F.broadcast(starts) if sum(r["tasks"] for r in lengths) <= BROADCAST_RANGES else starts.hint("merge")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossmill.llm import bits, wordhash
-from glossmill.llm.session import plainly, with_fields
+from glossmill.llm.session import frugal, plainly, with_fields
 from glossmill.llm.workspace import Workspace
 from glossmill.shared import delete, listed, put
 
@@ -74,7 +74,7 @@ def _fingerprints(documents: DataFrame, window: int, gram: int) -> DataFrame:
                 new[1:] = (fp[1:] != fp[:-1]) | (row[1:] != row[:-1])
                 yield pa.RecordBatch.from_arrays([pa.array(fp[new].view(np.int64)), pa.array(ids[a + row[new]])], ["fp", "doc"])
 
-    return documents.where("doc_id is not null").select("doc_id", "text").mapInArrow(read, "fp long, doc long")
+    return documents.where("doc_id is not null").select("doc_id", "text").mapInArrow(frugal(read), "fp long, doc long")
 
 
 def _hashed(hashes: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +101,7 @@ def _shared_windows(documents: DataFrame, shared: DataFrame, known, window: int,
 
     schema = ("fp long, " if known is None else "") + "whole long, check int, doc long"
     names = [x.split()[0] for x in schema.split(", ")]
-    found = documents.where("doc_id is not null").select("doc_id", "text").mapInArrow(read, schema)
+    found = documents.where("doc_id is not null").select("doc_id", "text").mapInArrow(frugal(read), schema)
     return found.distinct().join(shared, "fp", "left_semi").drop("fp") if known is None else found
 
 
@@ -137,7 +137,7 @@ def _repeats(documents: DataFrame, repeated, heavy, window: int) -> DataFrame:
                 columns = (whole, check, doc, _text_keys(hashes, bounds)[row], (starts - bounds[row]).astype(np.int32), settled)
                 yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns], ["whole", "check", "doc", "key", "at", "settled"])
 
-    return documents.where("doc_id is not null").select("doc_id", "text").mapInArrow(read, "whole long, check int, doc long, key long, at int, settled boolean")
+    return documents.where("doc_id is not null").select("doc_id", "text").mapInArrow(frugal(read), "whole long, check int, doc long, key long, at int, settled boolean")
 
 
 def _text_keys(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -346,8 +346,8 @@ def without(documents: DataFrame, repeats: DataFrame, window: int = 13, counts:
 
     schema = with_fields(rows, words="long", removed="long")
     places = repeats.select("doc", F.col("key").alias("of"), "at")
-    met = rows.mapInArrow(keyed, with_fields(rows, key="long")).join(places, (F.col(columns[ids]) == F.col("doc")) & (F.col("key") == F.col("of")), "left")
-    return rows.mapInArrow(clean, schema).unionAll(met.select(*columns, "at").mapInArrow(rewrite, schema)).toDF(*others, *counts)
+    met = rows.mapInArrow(frugal(keyed), with_fields(rows, key="long")).join(places, (F.col(columns[ids]) == F.col("doc")) & (F.col("key") == F.col("of")), "left")
+    return rows.mapInArrow(frugal(clean), schema).unionAll(met.select(*columns, "at").mapInArrow(frugal(rewrite), schema)).toDF(*others, *counts)
 
 
 def _without(text: str, gone: np.ndarray) -> str:

@@ -43,12 +43,15 @@ def _plain(spec: dict) -> bool:
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Callable[[str], np.ndarray]:
     """A function from a text to its ids."""
-    from tokenizers import Tokenizer
 
-    exact = Tokenizer.from_file(path)
+    @functools.cache  # few texts need it, and it takes as much memory as the fast one
+    def exact():
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(path)
 
     def slow(text: str) -> np.ndarray:
-        return np.array(exact.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(exact().encode(text, add_special_tokens=False).ids, np.uint32)
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)

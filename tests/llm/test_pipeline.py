@@ -1,11 +1,12 @@
 """Stages of the pipeline, each on its own input, against brute force."""
 
 import corpus_pipeline
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from glossmill.llm import html_text  # noqa: F401  the subpackage is there
+from glossmill.llm import bits, html_text, session, tokens  # noqa: F401  the subpackage is there
 from tests.conftest import SF, SMALL
 from tests.llm.test_operators import EDGES, deduplicated, grouped
 
@@ -84,3 +85,46 @@ def test_stages_send_small_batches(spark):
         stage(other, docs, SMALL)
         sent = other.range(3000, numPartitions=1).mapInArrow(sizes, "n long").agg({"n": "max"}).first()[0]
         assert sent <= 512 and int(other.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 1024, name
+
+
+def test_tasks_end_by_giving_memory_back(spark, monkeypatch):
+    """Workers stay for the next stages: what a task has freed goes back, also if its rows aren't read to the end."""
+    gone = []
+    monkeypatch.setattr(session, "give_back", lambda: gone.append(1))
+    assert list(session.frugal(lambda rows: (2 * x for x in rows))(iter([1, 2]))) == [2, 4] and len(gone) == 1
+    some = session.frugal(lambda rows: (x for x in rows))(iter([1, 2]))
+    assert next(some) == 1
+    some.close()
+    assert len(gone) == 2
+
+
+def test_packing_needs_no_second_kind_of_worker(spark):
+    """Rows of Python would be read by workers of a daemon of their own."""
+    packed = corpus_pipeline.best_fit_packing(spark, spark.read.parquet(f"{SMALL}/documents.parquet"), SMALL)
+    assert packed.count() > 0 and "ExistingRDD" not in packed._jdf.queryExecution().toString()
+
+
+def test_plain_texts_load_one_vocabulary(monkeypatch):
+    import public_tokenizers
+    import tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    want = tokenizers.Tokenizer.from_file(path).encode("some plain text", add_special_tokens=False).ids
+    monkeypatch.setattr(tokenizers, "Tokenizer", None)
+    assert tokens.encoder.__wrapped__(path)("some plain text").tolist() == want
+
+
+def test_a_filter_comes_in_small_batches(spark):
+    """One of 4 MB from a task was one batch, and so is one buffer that the JVM doesn't pool."""
+    sent = []
+
+    class Keys:
+        sparkSession = spark
+
+        def mapInArrow(self, f, _):
+            sent.extend(f(iter([pa.RecordBatch.from_arrays([pa.array(range(100_000), pa.int64())], ["key"])])))
+            return spark.createDataFrame(pa.Table.from_batches(sent), "k int, bits binary")
+
+    found = bits.build(Keys(), 1 << 22)
+    assert max(b.nbytes for b in sent) < 2 << 20 and sum(b.num_rows for b in sent) == 64
+    assert bits.contains(found.value, np.arange(100_000, dtype=np.uint64)).all()
