@@ -10,12 +10,18 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from glossmill.shared import delete
 
 LIMIT = 50
 LIMIT_EACH = 20
@@ -121,14 +127,49 @@ def _as_postings(documents: DataFrame, words: list[str]) -> Postings:
     return Postings(placed.groupBy("token", "dict_id", "entry_seq").agg(F.collect_list("at").alias("at")), measured, _totals(measured))
 
 
-def store_postings(documents: DataFrame, path: str) -> None:
+def _invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows with their words, the different words of each and the places that each has."""
+    for batch in batches:
+        words = batch.column("words")
+        lengths = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = words.flatten().dictionary_encode()
+        table, codes, ends = coded.dictionary, coded.indices.to_numpy().astype(np.int64), np.cumsum(lengths)
+        row, at = np.repeat(np.arange(len(lengths)), lengths), np.arange(len(codes)) - np.repeat(ends - lengths, lengths)
+        order = np.argsort(row * (len(table) + 1) + codes, kind="stable")
+        order = order[~np.asarray(table.to_numpy(zero_copy_only=False) == "")[codes[order]]]
+        row, codes, at = row[order], codes[order], at[order]
+        first = np.flatnonzero(np.diff(row, prepend=-1).astype(bool) | np.diff(codes, prepend=-1).astype(bool))
+        places = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)), pa.int32()), pa.array(at, pa.int32()))
+        found = pa.StructArray.from_arrays([table.take(pa.array(codes[first])), places], ["token", "at"])
+        inverted = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[first], np.arange(len(lengths) + 1)), pa.int32()), found)
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in range(3)), pa.array(lengths - 1, pa.int32()), inverted], ["dict_id", "entry_seq", "headword", "length", "postings"])
+
+
+def store_postings(documents: DataFrame, path: str, partitions: int | None = None) -> None:
     """The inverted index of documents (dict_id, entry_seq, headword, definition), sorted by token, so a search reads the
-    row groups of its words. Frequent tokens are spread over partitions by document."""
-    placed = documents.select("dict_id", "entry_seq", F.posexplode(_sequence()).alias("at", "token")).where("token <> ''")
-    entries = placed.groupBy("token", "dict_id", "entry_seq").agg(F.sort_array(F.collect_list("at")).alias("at"))
-    entries.repartitionByRange("token", "dict_id", "entry_seq").sortWithinPartitions("token", "dict_id", "entry_seq").write.parquet(f"{path}/entries")
-    _measured(documents).write.parquet(f"{path}/documents")
-    _totals(documents.sparkSession.read.parquet(f"{path}/documents")).write.parquet(f"{path}/totals")
+    row groups of its words. Frequent tokens are spread over partitions by document.
+
+    Texts are read once: each document's own postings are stored aside, in a row, and lengths and the sorted index are
+    made of these rows."""
+    spark, setting = documents.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    words = documents.select("dict_id", "entry_seq", "headword", _sequence().alias("words"))
+    kinds = [*words.schema.fields[:3], T.StructField("length", T.IntegerType()), T.StructField("postings", T.ArrayType(T.StructType().add("token", "string").add("at", T.ArrayType(T.IntegerType()))))]
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, min(512, int(before)) if int(before) > 0 else 512)
+    try:
+        words.mapInArrow(_invert, T.StructType(kinds)).write.parquet(f"{path}/inverted")
+    finally:
+        spark.conf.set(setting, before)
+    inverted = spark.read.schema(T.StructType(kinds)).parquet(f"{path}/inverted")
+    entries = inverted.select("dict_id", "entry_seq", F.explode("postings").alias("p")).select("p.token", "dict_id", "entry_seq", "p.at")
+    if inverted.groupBy("dict_id", "entry_seq").count().where("count > 1").limit(1).count():
+        entries = entries.groupBy("token", "dict_id", "entry_seq").agg(F.sort_array(F.flatten(F.collect_list("at"))).alias("at"))
+    key = ["token", "dict_id", "entry_seq"]
+    spread = entries.repartitionByRange(partitions, *key) if partitions else entries.repartitionByRange(*key)
+    spread.sortWithinPartitions(*key).write.parquet(f"{path}/entries")
+    inverted.select("dict_id", "entry_seq", "headword", "length").write.parquet(f"{path}/documents")
+    _totals(spark.read.parquet(f"{path}/documents")).write.parquet(f"{path}/totals")
+    delete(spark, f"{path}/inverted")
 
 
 def postings(spark: SparkSession, path: str) -> Postings:

@@ -14,7 +14,7 @@ from glossmill.operators import index
 from glossmill.operators.fulltext import Postings, postings, store_postings
 from glossmill.operators.lookup import completions, rebuild_completions
 from glossmill.operators.scope import discovered
-from glossmill.shared import built
+from glossmill.shared import built, partitions_for
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,8 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("dict_id", (F.col("doc_id") * 1_000_000 + F.col("at")).alias("entry_seq"), "headword", F.col("doc_id").alias("byte_offset"), F.length("headword").cast("long").alias("byte_length"))
 
 
+#: Bytes of documents for a partition of what is derived from them: about a million tokens.
+_SHARE = 4 << 20
 _ENTRIES = "entry_seq long, headword string, headword_normalized string, byte_offset long, byte_length long, entry_key string, dict_id string"
 
 
@@ -53,7 +55,8 @@ def stored_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored_fulltext(spark: SparkSession, sf_dir: str) -> Postings:
-    path = built(spark, "postings", f"{sf_dir}/documents.parquet", lambda path: store_postings(fulltext(spark, sf_dir), path))
+    table = f"{sf_dir}/documents.parquet"
+    path = built(spark, "postings", table, lambda path: store_postings(fulltext(spark, sf_dir), path, partitions_for(spark, table, _SHARE)))
     return postings(spark, path)
 
 

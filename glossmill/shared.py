@@ -47,6 +47,13 @@ def built(spark: SparkSession, name: str, table: str, build: Callable[[str], Non
     return folder
 
 
+def partitions_for(spark: SparkSession, table: str, each: int) -> int:
+    """As many partitions as the table's files have times ``each`` bytes, so a task's share doesn't grow with the table;
+    the session's number at least."""
+    store, p = _place(spark, table)
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-store.getContentSummary(p).getLength() // each))
+
+
 def put(spark: SparkSession, path: str, content: bytes) -> None:
     """Writes a small file to any store that Spark reaches."""
     store, p = _place(spark, path)
