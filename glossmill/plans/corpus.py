@@ -45,7 +45,8 @@ _ENTRIES = "entry_seq long, headword string, headword_normalized string, byte_of
 def stored_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The entries from their index, which is made when it is asked for the first time (or when the table has changed)
     and then only read."""
-    path = built(spark, "entries", f"{sf_dir}/documents.parquet", lambda path: index.store(index.indexed(tokens(spark, sf_dir)), path))
+    table = f"{sf_dir}/documents.parquet"
+    path = built(spark, "entries", table, lambda path: index.store(index.indexed(tokens(spark, sf_dir)), path, partitions_for(spark, table, _SHARE)))
     return spark.read.schema(_ENTRIES).parquet(path)
 
 
