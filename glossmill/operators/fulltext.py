@@ -270,7 +270,8 @@ def snippet(text: str | None, words: list[str], size: int = SNIPPET) -> str:
 
 
 def snippets(found: DataFrame, documents: DataFrame, query: str) -> DataFrame:
-    """Adds the snippet of the definition; only found rows are read."""
+    """Adds the snippet of the definition. Found rows, at most the limit of each dictionary, go to the documents, so
+    texts aren't shuffled."""
     words = phrase(query)
 
     @F.pandas_udf("string")
@@ -278,7 +279,7 @@ def snippets(found: DataFrame, documents: DataFrame, query: str) -> DataFrame:
         return texts.map(lambda t: snippet(t, words))
 
     bodies = documents.select("dict_id", "entry_seq", "definition")
-    return found.join(bodies, ["dict_id", "entry_seq"]).withColumn("snippet", cut("definition")).drop("definition")
+    return bodies.join(F.broadcast(found), ["dict_id", "entry_seq"]).select(*found.columns, "definition").withColumn("snippet", cut("definition")).drop("definition")
 
 
 def highlights(text: Column) -> Column:

@@ -32,6 +32,14 @@ def test_documents_of_one_id_share_their_postings(spark, tmp_path):
     assert sorted((r["entry_seq"], r["at"]) for r in got) == [(1, [2, 2]), (2, [2])]
 
 
+def test_snippets_shuffle_no_texts(spark, tmp_path):
+    frame = spark.createDataFrame([("d", 1, "h", "red skin")], "dict_id string, entry_seq long, headword string, definition string")
+    frame.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    found = fulltext.snippets(spark.createDataFrame([("d", 1)], "dict_id string, entry_seq long"), docs, "skin")
+    assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString() and found.first()["snippet"] == "red >>>skin<<<"
+
+
 def test_partitions_grow_with_the_table(spark):
     from glossmill.shared import partitions_for
 
