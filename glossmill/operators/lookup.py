@@ -173,13 +173,22 @@ class Completion:
         return [(w, n) for w, n in self.rows if normalize_word(w).startswith(start)]
 
 
+def _own_first(entries: DataFrame, asked: DataFrame) -> DataFrame:
+    """Entries of the references' own dictionaries, and of all for references of which no row has an own one. What a
+    dictionary has is told by its different headwords, so only the entries that are returned are joined."""
+    has = entries.select(F.col("dict_id").alias("from_dict"), F.col("headword_normalized").alias("target_normalized")).distinct()
+    own = asked.join(has, ["from_dict", "target_normalized"], "left_semi")
+    near = own.join(entries.withColumn("from_dict", F.col("dict_id")).withColumn("target_normalized", F.col("headword_normalized")), ["from_dict", "target_normalized"])
+    far = asked.join(own.select(F.col("ref_id").alias("_own")).distinct(), F.col("ref_id").eqNullSafe(F.col("_own")), "left_anti").join(entries, F.col("target_normalized") == F.col("headword_normalized"))
+    return near.select("ref_id", *entries.columns).unionByName(far.select("ref_id", *entries.columns))
+
+
 def follow(entries: DataFrame, dictionaries: DataFrame, references: DataFrame, scope: str = "all") -> DataFrame:
     """Entries that references (ref_id, dict_id, target_normalized) lead to: in all dictionaries, or in the same
     one with all as the way out where it has none."""
     asked = references.select("ref_id", F.col("dict_id").alias("from_dict"), "target_normalized")
     found = asked.join(entries, F.col("target_normalized") == F.col("headword_normalized"))
     if scope == "same":
-        own = F.max((F.col("dict_id") == F.col("from_dict")).cast("int")).over(Window.partitionBy("ref_id"))
-        found = found.withColumn("own", own).where((F.col("own") == 0) | (F.col("dict_id") == F.col("from_dict"))).drop("own")
+        found = _own_first(entries, asked)
     known = dictionaries.select("dict_id", "dict_seq", "priority")
     return found.join(known, "dict_id").select("ref_id", "dict_id", "priority", "dict_seq", "entry_seq", "headword")

@@ -2,10 +2,24 @@
 
 import random
 
-from glossmill.operators import fulltext
+from glossmill.operators import fulltext, lookup
 from glossmill.plans import corpus
 
 
+def test_references_meet_only_what_they_return(spark):
+    random.seed(3)
+    entries = [(f"d{random.randint(1, 4)}", n, f"w{random.randint(1, 9)}") for n in range(60)]
+    asked = [(random.choice(["r1", "r2", "r3", None]), f"d{random.randint(1, 5)}", f"w{random.randint(1, 12)}") for _ in range(12)]
+    e = spark.createDataFrame([(d, n, w, w) for d, n, w in entries], "dict_id string, entry_seq long, headword string, headword_normalized string")
+    d = spark.createDataFrame([(f"d{n}", n, n) for n in range(1, 5)], "dict_id string, dict_seq int, priority int")
+    found = lookup.follow(e, d, spark.createDataFrame(asked, "ref_id string, dict_id string, target_normalized string"), "same")
+    whole = [(r, f, d, n) for r, f, t in asked for d, n, w in entries if t == w]
+    own = {r for r, f, d, n in whole if f == d}
+    want = sorted((r or "", d, n) for r, f, d, n in whole if r not in own or f == d)
+    assert sorted((r["ref_id"] or "", r["dict_id"], r["entry_seq"]) for r in found.collect()) == want
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_postings_and_hits_equal_their_model(spark, tmp_path, monkeypatch):
     random.seed(4)
     words = ["red", "Réd", "skin", "of", "the", "É", "·"]
