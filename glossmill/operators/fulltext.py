@@ -1,8 +1,8 @@
 """Ranked phrase search per dictionary: tokens, postings of the query's tokens, BM25, top rows, snippets.
 
 A query is one phrase. It reads the postings of its own tokens from a stored inverted index, or makes them where
-documents aren't indexed. A hit at token i of the phrase votes for the start that it implies, and a start with all
-votes is a match. So nothing is joined with itself, and the only shuffle of hits is a pre-aggregated count.
+documents aren't indexed. A place of token i of the phrase implies a start, and a start that all tokens imply is a match.
+So nothing is joined with itself, and what is shuffled is a row for each token and document, not for each place.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import re
 import sys
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -181,17 +181,17 @@ def postings(spark: SparkSession, path: str) -> Postings:
 
 
 def _hits(entries: DataFrame, words: list[str]) -> DataFrame:
-    """(dict_id, entry_seq, hits): starts of the phrase. Each place of a word votes for the start that it implies, and a
-    start with all votes is a match, so no posting is joined with another."""
-    entries = entries.where(F.col("token").isin(list(dict.fromkeys(words))))
+    """(dict_id, entry_seq, hits): starts of the phrase. The places of each word imply starts, and a start that all words
+    imply is a match, so no posting is joined with another, and a document's places stay in its row."""
+    different = list(dict.fromkeys(words))
+    entries = entries.where(F.col("token").isin(different))
     if len(words) == 1:
         return entries.select("dict_id", "entry_seq", F.size("at").cast("long").alias("hits"))
-    places = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(w).alias("w")) for n, w in enumerate(words)])
-    mine = F.filter(places, lambda p: p["w"] == F.col("token"))
-    starts = F.flatten(F.transform(mine, lambda p: F.transform("at", lambda a: a - p["n"])))
-    votes = entries.select("dict_id", "entry_seq", F.explode(starts).alias("start"))
-    whole = votes.groupBy("dict_id", "entry_seq", "start").agg(F.count("*").alias("c")).where(F.col("c") == len(words))
-    return whole.groupBy("dict_id", "entry_seq").agg(F.count("*").alias("hits"))
+    places = [F.first(F.when(F.col("token") == w, F.col("at")), ignorenulls=True).alias(f"at{k}") for k, w in enumerate(different)]
+    both = entries.groupBy("dict_id", "entry_seq").agg(*places)
+    before = lambda n: lambda at: at - F.lit(n)
+    starts = [F.transform(f"at{different.index(w)}", before(n)) for n, w in enumerate(words)]
+    return both.select("dict_id", "entry_seq", F.size(reduce(F.array_intersect, starts)).cast("long").alias("hits")).where("hits > 0")
 
 
 def search(source: DataFrame | Postings, query: str, limit: int = LIMIT_EACH) -> DataFrame:

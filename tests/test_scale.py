@@ -37,6 +37,7 @@ def test_postings_and_hits_equal_their_model(spark, tmp_path, monkeypatch):
     for query in (["red"], ["red", "skin"], ["red", "red"], ["of", "the", "of"], ["absent", "red"]):
         hits = {key: n for key, tokens in names.items() if (n := sum(tokens[i : i + len(query)] == query for i in range(len(tokens))))}
         assert {(r["dict_id"], r["entry_seq"]): r["hits"] for r in fulltext._hits(stored.entries, query).collect()} == hits
+    assert "explode" not in fulltext._hits(stored.entries, ["of", "the"])._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_documents_of_one_id_share_their_postings(spark, tmp_path):
