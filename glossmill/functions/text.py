@@ -1,14 +1,16 @@
 """Scalar text functions: normalised headwords, labels, plain text, and single-purpose rewrites.
 
-All are column expressions but ``normalize``, which needs Unicode decomposition and is an Arrow function. It is
+All are column expressions but ``normalize``, an Arrow function with the same result as ``normalized``. Either is
 meant to run once, when entries are indexed; words of a query are normalised on the driver by ``normalize_word``,
 so predicates compare a stored column with a literal and reach the scan.
 """
 
 from __future__ import annotations
 
+import sys
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -35,6 +37,55 @@ def normalize(words: pd.Series) -> pd.Series:
     return pd.Series([table[c] for c in codes], index=words.index, dtype=object)
 
 
+def _characters(inside: Callable[[str], bool]) -> str:
+    """The characters of a kind, as a class's inner part in a Java regular expression."""
+    ranges, start = [], None
+    for code in range(0x80, sys.maxunicode + 2):
+        met = code <= sys.maxunicode and not 0xD800 <= code <= 0xDFFF and inside(chr(code))
+        if met and start is None:
+            start = code
+        elif not met and start is not None:
+            ranges.append(f"\\x{{{start:x}}}-\\x{{{code - 1:x}}}")
+            start = None
+    return "".join(ranges)
+
+
+@lru_cache(maxsize=1)
+def _latin() -> tuple[str, str, str]:
+    """Latin letters whose normalised form is one character: as a regular expression, those that change, and their forms."""
+    simple = [c for c in map(chr, range(0x250)) if len(normalize_word(c)) == 1]
+    pairs = [(c, normalize_word(c)) for c in simple if normalize_word(c) != c]
+    return rf"^[\x00-\x7f{_characters(lambda c: c in simple)}]*$", "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+@lru_cache(maxsize=1)
+def _unicode() -> tuple[str, str, str, str]:
+    """By Python's own tables: nonspacing marks, a sigma at the end of a word, and letters with their lower case."""
+    marks = _characters(lambda c: unicodedata.category(c) == "Mn")
+    ignored = _characters(lambda c: f"A{c}Σ".lower()[-1] == "ς" != f"{c}Σ".lower()[-1]) + "".join(rf"\x{{{ord(c):x}}}" for c in map(chr, range(0x80)) if not c.isalpha() and f"A{c}Σ".lower()[-1] == "ς")
+    cased = "A-Za-z" + _characters(lambda c: f"{c}Σ".lower()[-1] == "ς")
+    pairs = [(c, c.lower()) for c in map(chr, range(sys.maxunicode + 1)) if not "\ud800" <= c <= "\udfff" and c.lower() != c and len(c.lower()) == 1]
+    return f"[{marks}]+", f"([{cased}][{ignored}]*)Σ(?![{ignored}]*[{cased}])", "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def normalized(word: Column) -> Column:
+    """normalize_word as an expression of Spark's own, so no row goes to Python. Words of ASCII and of Latin letters are
+    mapped letter by letter. For others ICU, which Spark holds, decomposes, and the rest follows Python's tables; there
+    both may differ in characters that are newer than Python's Unicode."""
+    simple, letters, forms = _latin()
+    marks, final, upper, lower = _unicode()
+    whole = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), F.coalesce(word, F.lit("")), F.lit(True))
+    # Java's class of marks is fast but older; Python's is asked for what Java doesn't know.
+    plain = F.regexp_replace(whole, r"[\p{Mn}&&[^\u1734]]+", "")
+    plain = F.when(F.rlike(plain, F.lit(r"\p{Cn}")), F.regexp_replace(plain, marks, "")).otherwise(plain)
+    plain = F.when(F.contains(plain, F.lit("Σ")), F.regexp_replace(plain, final, "$1ς")).otherwise(plain)
+    ascii_only = F.octet_length(word) == F.char_length(word)
+    return (
+        F.when(word.isNull(), "").when(ascii_only, F.lower(word)).when(F.rlike(word, F.lit(simple)), F.translate(word, letters, forms))
+        .otherwise(F.translate(plain, upper, lower))
+    )
+
+
 @F.pandas_udf(T.StringType())
 def ripemd128_hex(messages: pd.Series) -> pd.Series:
     """Digests of texts in UTF-8."""

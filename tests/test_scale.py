@@ -1,11 +1,31 @@
 """Steps whose time or memory a task grew faster than the input."""
 
 import random
+import sys
+import unicodedata
 
-from glossmill.operators import fulltext, lookup
+from pyspark.sql import functions as F
+
+from glossmill.functions import text
+from glossmill.operators import fulltext, index, lookup
 from glossmill.plans import corpus
 
 
+def test_normalized_equals_its_model(spark):
+    random.seed(5)
+    every = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c <= 0xDFFF and unicodedata.category(chr(c)) != "Cn"]
+    odd = "ΣσςAa1ʰ'’.·́̈ͅİIiß한글ﬁǅ Éñ𝅗𝅥ⁱ"
+    words = every + ["".join(random.choices(odd, k=random.randint(0, 7))) for _ in range(20_000)] + [None, "", "ΟΔΥΣΣΕΥΣ", "ΑΣ ΒΣ", "x" * 100_000 + "É"]
+    got = spark.createDataFrame([(n, w) for n, w in enumerate(words)], "n long, word string").select("n", text.normalized(F.col("word")).alias("form")).collect()
+    assert [(words[r["n"]], r["form"]) for r in got if r["form"] != text.normalize_word(words[r["n"]])] == [] and len(got) == len(words)
+
+
+def test_entries_are_indexed_without_python(spark):
+    rows = spark.createDataFrame([("d", 1, "Élan", 0, 4)], "dict_id string, entry_seq long, headword string, byte_offset long, byte_length long")
+    found = index.indexed(rows)
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString() and found.first()["headword_normalized"] == "elan"
+
+
 def test_references_meet_only_what_they_return(spark):
     random.seed(3)
     entries = [(f"d{random.randint(1, 4)}", n, f"w{random.randint(1, 9)}") for n in range(60)]
