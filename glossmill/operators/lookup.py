@@ -39,9 +39,12 @@ def exact_batch(entries: DataFrame, words: Iterable[str]) -> DataFrame:
 
 def ranked(found: DataFrame, dictionaries: DataFrame) -> DataFrame:
     """Adds each entry's dictionary, in the order of results: priority, then discovery, then place in the
-    dictionary. ``rank`` numbers the dictionaries that have the word."""
+    dictionary. ``rank`` numbers the dictionaries that have the word. It is made of words and dictionaries alone, so a
+    common word's entries aren't one task's."""
     order = Window.partitionBy("word").orderBy("priority", "dict_seq")
-    return found.join(dictionaries.select("dict_id", "dict_seq", "name", "priority"), "dict_id").withColumn("rank", F.dense_rank().over(order))
+    pairs = found.select("word", "dict_id").distinct().join(dictionaries.select("dict_id", "dict_seq", "name", "priority"), "dict_id")
+    numbered = pairs.withColumn("rank", F.dense_rank().over(order)).withColumnsRenamed({"word": "_word", "dict_id": "_dict_id"})
+    return found.join(numbered, F.col("word").eqNullSafe(F.col("_word")) & (F.col("dict_id") == F.col("_dict_id"))).drop("_word", "_dict_id")
 
 
 def by_dictionary(found: DataFrame) -> DataFrame:

@@ -26,6 +26,16 @@ def test_entries_are_indexed_without_python(spark):
     assert "Python" not in found._jdf.queryExecution().executedPlan().toString() and found.first()["headword_normalized"] == "elan"
 
 
+def test_common_words_are_not_one_tasks(spark):
+    e = spark.createDataFrame([(d, n, w, w) for n, (d, w) in enumerate([("d1", "a"), ("d1", "a"), ("d2", "a"), ("d3", "b"), ("d2", "b"), ("d3", "")])], "dict_id string, entry_seq long, headword string, headword_normalized string")
+    d = spark.createDataFrame([("d1", 1, "One", 5), ("d2", 2, "Two", 5), ("d3", 3, "Three", 1)], "dict_id string, dict_seq int, name string, priority int")
+    found = lookup.ranked(lookup.exact_batch(e, ["a", "b", None]), d)
+    got = sorted((r["word"] or "", r["rank"], r["name"], r["entry_seq"]) for r in found.collect())
+    assert got == [("", 1, "Three", 5), ("a", 1, "One", 0), ("a", 1, "One", 1), ("a", 2, "Two", 2), ("b", 1, "Three", 3), ("b", 2, "Two", 4)]
+    above = found._jdf.queryExecution().optimizedPlan().toString().split("Window \\[")
+    assert len(above) == 2 and "Aggregate [word" in above[1]
+
+
 def test_references_meet_only_what_they_return(spark):
     random.seed(3)
     entries = [(f"d{random.randint(1, 4)}", n, f"w{random.randint(1, 9)}") for n in range(60)]
