@@ -53,8 +53,8 @@ def _characters(inside: Callable[[str], bool]) -> str:
 @lru_cache(maxsize=1)
 def _latin() -> tuple[str, str, str]:
     """Latin letters whose normalised form is one character: as a regular expression, those that change, and their forms."""
-    simple = [c for c in map(chr, range(0x250)) if len(normalize_word(c)) == 1]
-    pairs = [(c, normalize_word(c)) for c in simple if normalize_word(c) != c]
+    simple = {c for c in map(chr, range(0x250)) if len(normalize_word(c)) == 1}
+    pairs = [(c, normalize_word(c)) for c in sorted(simple) if normalize_word(c) != c]
     return rf"^[\x00-\x7f{_characters(lambda c: c in simple)}]*$", "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 

@@ -32,7 +32,7 @@ def test_common_words_are_not_one_tasks(spark):
     found = lookup.ranked(lookup.exact_batch(e, ["a", "b", None]), d)
     got = sorted((r["word"] or "", r["rank"], r["name"], r["entry_seq"]) for r in found.collect())
     assert got == [("", 1, "Three", 5), ("a", 1, "One", 0), ("a", 1, "One", 1), ("a", 2, "Two", 2), ("b", 1, "Three", 3), ("b", 2, "Two", 4)]
-    above = found._jdf.queryExecution().optimizedPlan().toString().split("Window \\[")
+    above = found._jdf.queryExecution().optimizedPlan().toString().split("Window [")
     assert len(above) == 2 and "Aggregate [word" in above[1]
 
 
